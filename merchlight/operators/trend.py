@@ -115,15 +115,17 @@ def category_columns(df: DataFrame, total: str = "total_sales") -> list[str]:
 
 def unpivot_categories(daily_wide: DataFrame, date: str = "date",
                        keys: Sequence[str] = ()) -> DataFrame:
-    """Wide daily table to (date, category, sales), with the column position."""
-    columns = category_columns(daily_wide)
-    typed = daily_wide.select(*keys, date,
-                              *[F.col(c).cast("double").alias(c) for c in columns])
-    long = typed.unpivot([*keys, date], columns, "category", "sales")
-    places = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (c, i + 1)])
-    order = places[F.col("category")]
-    return long.withColumns({"category_order": order,
-                             "display_name": display_name("category")})
+    """Wide daily table to (date, category, sales), with the column position.
+
+    The rows are exploded from an array of structs, so that names and positions
+    are constants of the plan rather than string work per row.
+    """
+    items = F.array(*[
+        F.struct(F.lit(c).alias("category"), F.col(c).cast("double").alias("sales"),
+                 F.lit(i).alias("category_order"), display_name(F.lit(c)).alias("display_name"))
+        for i, c in enumerate(category_columns(daily_wide), start=1)])
+    return daily_wide.select(*keys, date, F.explode(items).alias("c")) \
+                     .select(*keys, date, "c.*")
 
 
 def daily_wide(daily_long: DataFrame, categories: Sequence[str] | None = None,
