@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from merchlight.functions.measures import (
     as_column, days_of_supply, mean_of, ratio, resolve_as_of)
@@ -14,13 +15,34 @@ from merchlight.session import stage
 # Class bounds in days of stock.
 CRITICAL_DAYS, LOW_DAYS, OVERSTOCK_DAYS = 15, 20, 90
 
+INT_RANGE = 2 ** 32
+
 
 def latest_inventory(snapshots: DataFrame) -> DataFrame:
-    """Newest count per product; of several counts at one time, the highest."""
+    """Newest count per product; of several counts at one time, the highest.
+
+    The maximum of a struct can only be taken by sorting. For a date and an int
+    count both fit one long (day in the high bits), whose maximum is a plain hash
+    aggregate; other types take the struct.
+    """
+    kinds = {f.name: f.dataType for f in snapshots.schema}
+    if isinstance(kinds["last_updated"], T.DateType) \
+            and isinstance(kinds["quantity_on_hand"], T.IntegerType):
+        count = F.col("quantity_on_hand").cast("bigint") + INT_RANGE // 2
+        packed = F.unix_date("last_updated").cast("bigint") * INT_RANGE + count
+        newest = snapshots.dropna(subset=["last_updated", "quantity_on_hand"]) \
+                          .groupBy("product_id").agg(F.max(packed).alias("p"))
+        return newest.select(
+            "product_id",
+            (F.pmod("p", F.lit(INT_RANGE)) - INT_RANGE // 2).cast("int")
+            .alias("quantity_on_hand"),
+            F.date_from_unix_date(F.shiftright("p", 32).cast("int"))
+            .alias("last_updated"))
     newest = F.max(F.struct("last_updated", "quantity_on_hand"))
-    return snapshots.groupBy("product_id").agg(newest.alias("s")).select(
-        "product_id", F.col("s.quantity_on_hand").alias("quantity_on_hand"),
-        F.col("s.last_updated").alias("last_updated"))
+    return snapshots.dropna(subset=["last_updated", "quantity_on_hand"]) \
+        .groupBy("product_id").agg(newest.alias("s")).select(
+            "product_id", F.col("s.quantity_on_hand").alias("quantity_on_hand"),
+            F.col("s.last_updated").alias("last_updated"))
 
 
 def demand_rate(sales: DataFrame, as_of=None, window: int = 30) -> DataFrame:

@@ -123,14 +123,22 @@ class SalesModel:
         return daily.withColumn("inventory_level", stock_level())
 
     def daily_metrics(self) -> DataFrame:
-        """The wide daily table: totals, stock, customers, one column per category."""
+        """The wide daily table: totals, stock, customers, one column per category.
+
+        Units are split by category while lines are added up per order, so the
+        header join and the distinct customers work on orders, not on lines.
+        """
         items = self.lines().join(self.products().select("product_id", "category"),
-                                  "product_id").join(self.headers(), "order_id")
-        daily = items.groupBy("date").agg(
+                                  "product_id")
+        names = [f"{c.lower()}_sales" for c in CATEGORIES]
+        orders = items.groupBy("order_id").agg(
+            F.sum("quantity").alias("quantity"), F.sum("revenue").alias("revenue"),
+            *[F.sum(F.when(F.col("category") == c, F.col("quantity")).otherwise(0)).alias(n)
+              for c, n in zip(CATEGORIES, names)]).join(self.headers(), "order_id")
+        daily = orders.groupBy("date").agg(
             F.sum("quantity").alias("total_sales"), F.sum("revenue").alias("revenue"),
             F.count_distinct("customer_id").alias("customers"),
-            *[F.sum(F.when(F.col("category") == c, F.col("quantity")).otherwise(0))
-               .alias(f"{c.lower()}_sales") for c in CATEGORIES])
+            *[F.sum(n).alias(n) for n in names])
         return daily.withColumn("inventory_level", stock_level())
 
     def category_daily(self) -> DataFrame:
@@ -147,10 +155,13 @@ class SalesModel:
             F.sum("quantity").alias("total_sales"), F.sum("revenue").alias("revenue"))
         return daily.withColumn("inventory_level", stock_level())
 
-    def product_daily(self, last_days: int | None = None) -> DataFrame:
+    def dated_lines(self, last_days: int | None = None) -> DataFrame:
+        """Sale lines with their date, all or of the last days."""
+        return self.lines().join(self.headers(last_days), "order_id")
+
+    def product_daily(self) -> DataFrame:
         """One row per product and date with a sale."""
-        items = self.lines().join(self.headers(last_days), "order_id")
-        return items.groupBy("product_id", "date").agg(
+        return self.dated_lines().groupBy("product_id", "date").agg(
             F.sum("quantity").alias("quantity"), F.sum("revenue").alias("revenue"))
 
     def stock_snapshots(self) -> DataFrame:
@@ -159,7 +170,7 @@ class SalesModel:
         return self.table("lineitem").select(
             F.col("l_partkey").alias("product_id"),
             (10 + (F.col("l_orderkey") * 37 + F.col("l_linenumber")) % 190)
-            .cast("bigint").alias("quantity_on_hand"),
+            .cast("int").alias("quantity_on_hand"),
             F.col("l_shipdate").cast("date").alias("last_updated"))
 
     # -- questions and events ----------------------------------------------------

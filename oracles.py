@@ -267,7 +267,8 @@ SELECT concat_ws(',', CASE WHEN quantity > 45 THEN 'quantity_above_limit' END,
 FROM sale JOIN buyer USING (customer_id) JOIN item USING (product_id) GROUP BY 1""")
 
 ORACLES["latest_inventory"] = _with("stock", """
-SELECT product_id, quantity_on_hand, last_updated FROM stock""")
+SELECT product_id, CAST(quantity_on_hand AS INTEGER) AS quantity_on_hand, last_updated
+FROM stock""")
 
 ORACLES["profit_lines"] = _with("line", """
 SELECT order_id, product_id, quantity, unit_price, revenue::DOUBLE AS revenue,
@@ -316,6 +317,8 @@ SELECT date, CAST(round(sum(revenue), 2) AS DOUBLE) AS revenue,
   CAST(sum(quantity) AS BIGINT) AS quantity
 FROM sale, today WHERE date >= d - 90 GROUP BY date""")
 
+ORACLES["stored_sales_trend"] = ORACLES["sales_trend"]
+
 ORACLES["monthly_revenue"] = _with("sale", f"""
 SELECT CAST(date_trunc('month', date) AS DATE) AS month, {BREAKDOWN}
 FROM sale GROUP BY 1""")
@@ -476,32 +479,32 @@ SELECT product_id, product_name, category, units, round(unit_revenue, 4) AS unit
 # -- outliers -----------------------------------------------------------------------------------
 
 ORACLES["zscore_daily"] = _with("daily_z", """
-SELECT date, round(expected, 4) AS expected_sales,
-  round(revenue::DOUBLE, 4) AS actual_sales, round(z_score, 4) AS z_score,
+SELECT date, expected AS expected_sales,
+  revenue::DOUBLE AS actual_sales, round(z_score, 4) AS z_score,
   CASE WHEN abs(daily_z.z_score) >= 5 THEN 'critical'
     WHEN abs(daily_z.z_score) >= 4 THEN 'high' ELSE 'medium' END AS severity
 FROM daily_z WHERE abs(daily_z.z_score) > 2""")
 
 ORACLES["zscore_products"] = _with("product_z item", """
-SELECT date, product_id, product_name, round(expected, 4) AS expected_sales,
-  round(revenue::DOUBLE, 4) AS actual_sales, round(z_score, 4) AS z_score,
+SELECT date, product_id, product_name, expected AS expected_sales,
+  revenue::DOUBLE AS actual_sales, round(z_score, 4) AS z_score,
   CASE WHEN abs(product_z.z_score) >= 5 THEN 'critical'
     WHEN abs(product_z.z_score) >= 4 THEN 'high' ELSE 'medium' END AS severity
 FROM product_z JOIN item USING (product_id) WHERE abs(product_z.z_score) > 3""")
 
 ORACLES["recent_anomalies"] = _with("daily_z", """
-SELECT date, CAST(round(revenue, 2) AS DOUBLE) AS revenue, round(expected, 4) AS expected,
+SELECT date, CAST(round(revenue, 2) AS DOUBLE) AS revenue, expected,
   round(z_score, 4) AS z_score
 FROM (SELECT * FROM daily_z ORDER BY date DESC LIMIT 90) d WHERE abs(d.z_score) > 1.5""")
 
 ORACLES["unified_alerts"] = _with("daily_z product_z status", """
 SELECT 'revenue' AS alert, date, CAST(NULL AS BIGINT) AS product_id,
-  round(expected, 4) AS expected_sales, round(revenue::DOUBLE, 4) AS actual_sales,
+  expected AS expected_sales, revenue::DOUBLE AS actual_sales,
   CASE WHEN abs(z_score) >= 5 THEN 'critical' WHEN abs(z_score) >= 4 THEN 'high'
     ELSE 'medium' END AS severity, CAST(NULL AS DOUBLE) AS days_of_stock
 FROM daily_z WHERE abs(z_score) > 2
 UNION ALL
-SELECT 'product', date, product_id, round(expected, 4), round(revenue::DOUBLE, 4),
+SELECT 'product', date, product_id, expected, revenue::DOUBLE,
   CASE WHEN abs(z_score) >= 5 THEN 'critical' WHEN abs(z_score) >= 4 THEN 'high'
     ELSE 'medium' END, NULL
 FROM product_z WHERE abs(z_score) > 3
@@ -510,8 +513,8 @@ SELECT 'inventory', NULL, product_id, NULL, NULL, 'critical', round(days_of_stoc
 FROM status WHERE risk = 'critical'""")
 
 ORACLES["revenue_features"] = _with("daily", """
-SELECT date, round(revenue::DOUBLE, 4) AS daily_revenue, orders::DOUBLE AS order_count,
-  round(sum(daily.revenue) OVER week::DOUBLE / count(*) OVER week, 4) AS moving_average,
+SELECT date, revenue::DOUBLE AS daily_revenue, orders::DOUBLE AS order_count,
+  sum(daily.revenue) OVER week::DOUBLE / count(*) OVER week AS moving_average,
   round(coalesce((daily.revenue::DOUBLE - lag(daily.revenue) OVER w::DOUBLE)
     / lag(daily.revenue) OVER w::DOUBLE * 100, 0), 4) AS change_pct
 FROM daily WINDOW w AS (ORDER BY date), week AS (ORDER BY date ROWS 6 PRECEDING)""")
