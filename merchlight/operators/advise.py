@@ -115,11 +115,14 @@ def pricing_suggestions(products: DataFrame, high_share: float = 0.8,
 
 def retention_actions(segments: DataFrame, top_share: float = TOP_CUSTOMER_SHARE
                       ) -> DataFrame:
-    """One action per customer by segment; the best ``top_share`` by revenue first."""
-    stored = stage(segments.select("customer_id", "segment", "recency", "frequency",
-                                   "monetary"), "segments")
+    """One action per customer by segment; the best ``top_share`` by revenue first.
+
+    ``segments`` is the outcome of ``rfm_segments``: a projection of a stored table,
+    so reading it for the cut and again for the actions repeats no aggregation.
+    """
+    stored = segments.select("customer_id", "segment", "recency", "frequency", "monetary")
     cut = exact_quantiles(stored, ["monetary"], [1 - top_share])["monetary"][0]
-    top = F.col("monetary") >= F.lit(cut)
+    top = F.coalesce(F.col("monetary") >= F.lit(cut), F.lit(False))
     segment = F.col("segment")
     action = F.when(segment == AT_RISK, "win_back_offer") \
               .when(segment == LOYAL, "loyalty_points").otherwise("early_access")

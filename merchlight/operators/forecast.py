@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from merchlight.functions.measures import by_keys, mean_of, resolve_as_of
 from merchlight.operators.trend import trailing_rows, with_age
+from merchlight.session import spread
 
 # Fixed value: half width of the interval in residual deviations.
 INTERVAL = 1.96
@@ -95,7 +96,8 @@ def _per_series(daily, value, keys, horizon, shortest, fit) -> DataFrame:
 
     fields = [f"{k} {filled.schema[k].dataType.simpleString()}" for k in keys]
     schema = ", ".join([*fields, "ds date", "yhat double", "lower double", "upper double"])
-    return filled.groupBy(*keys).applyInPandas(run, schema)
+    groups = spread(filled, *keys) if keys else filled
+    return groups.groupBy(*keys).applyInPandas(run, schema)
 
 
 def _smoothing_runs(y: np.ndarray, season: int, params: np.ndarray):
@@ -127,16 +129,16 @@ def _smoothing_runs(y: np.ndarray, season: int, params: np.ndarray):
 
 def _solve_starts(errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least-squares starting states and squared error for each parameter row."""
-    fixed, response = errors[:, :, 0], errors[:, :, 1:]
-    scale = np.sqrt(np.einsum("tcj,tcj->cj", response, response))
+    runs = np.ascontiguousarray(errors.transpose(1, 2, 0))      # params, columns, time
+    fixed, response = runs[:, :1], runs[:, 1:]
+    scale = np.sqrt((response ** 2).sum(axis=2, keepdims=True))
     scale[scale < 1e-12] = 1.0
     response = response / scale
-    gram = np.einsum("tci,tcj->cij", response, response)
-    target = -np.einsum("tcj,tc->cj", response, fixed)
-    starts = np.einsum("cij,cj->ci", np.linalg.pinv(gram, rcond=1e-10, hermitian=True),
-                       target)
-    left = fixed + np.einsum("tcj,cj->tc", response, starts)
-    return starts / scale, np.einsum("tc,tc->c", left, left)
+    gram = response @ response.transpose(0, 2, 1)
+    target = -response @ fixed.transpose(0, 2, 1)
+    starts = np.linalg.pinv(gram, rcond=1e-10, hermitian=True) @ target
+    left = fixed + starts.transpose(0, 2, 1) @ response
+    return (starts / scale)[:, :, 0], (left ** 2).sum(axis=(1, 2))
 
 
 def _fit_holt_winters(y: np.ndarray, season: int,
@@ -254,6 +256,20 @@ def demand_forecast(sales: DataFrame, periods: int = 30, as_of=None, window: int
     return _spread(level, periods, ["product_id"])
 
 
+def revenue_forecast(sales: DataFrame, periods: int = 30, product: str | None = None,
+                     by: str = "product_name") -> DataFrame:
+    """Daily revenue ahead, of everything or of one product; 7 to 90 days.
+
+    ``sales`` is at any grain with ``date`` and ``revenue`` (and ``by`` to filter).
+    """
+    if not 7 <= periods <= 90:
+        raise ValueError("periods must lie between 7 and 90")
+    if product is not None:
+        sales = sales.filter(F.col(by) == product)
+    daily = sales.groupBy("date").agg(F.sum("revenue").alias("revenue"))
+    return seasonal_forecast(daily, "revenue", periods)
+
+
 def forecast_vs_actual(forecast: DataFrame, daily: DataFrame, value: str, n: int = 30,
                        keys: Sequence[str] = ()) -> DataFrame:
     """Mean forecast and interval against the mean of the last ``n`` actual rows."""

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from merchlight.functions.quantiles import exact_quantiles
-from merchlight.session import stage
+from merchlight.session import spread, stage
 
 NODE_SCHEMA = "tree int, node int, feature int, split double, size int"
 HASH_RANGE = 2_147_483_647
@@ -80,7 +80,7 @@ def _grow(rows: DataFrame, features, id_cols, total, trees, sample, seed) -> dic
         values = pdf.sort_values("draw")[columns].to_numpy(dtype=float)
         return _build_tree(tree, values, height, np.random.default_rng([seed, tree]))
 
-    nodes = drawn.groupBy("tree").applyInPandas(build, NODE_SCHEMA).toPandas()
+    nodes = spread(drawn, "tree").groupBy("tree").applyInPandas(build, NODE_SCHEMA).toPandas()
     width = 2 ** (height + 1)
     shape = (trees, width)
     forest = {"height": height, "feature": np.full(shape, -1, dtype=np.int32),
@@ -186,4 +186,5 @@ def isolation_forest_by_key(daily: DataFrame, features: Sequence[str],
     typed = daily.select(*keys, order, *[F.col(c).cast("double").alias(c) for c in columns])
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in typed.schema]
     schema = ", ".join([*fields, "score double", "is_anomaly boolean"])
-    return typed.dropna(subset=columns).groupBy(*keys).applyInPandas(fit, schema)
+    complete = spread(typed.dropna(subset=columns), *keys)
+    return complete.groupBy(*keys).applyInPandas(fit, schema)

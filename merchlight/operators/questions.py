@@ -18,6 +18,9 @@ INTENT_RULES = [
 ]
 GENERAL = "general"
 
+# Fixed value: the confidence reported with every answer.
+CONFIDENCE = 0.85
+
 
 def intent_of(question: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
     """First rule with a keyword inside the lower-cased text (substring, not word)."""
@@ -37,7 +40,7 @@ def classify_intent(questions: DataFrame, rules=INTENT_RULES) -> DataFrame:
 
 def answer_questions(questions: DataFrame, snapshot: DataFrame, forecast: DataFrame,
                      correlation: DataFrame, rules=INTENT_RULES) -> DataFrame:
-    """An answer, the measure it rests on, and its sources, per question.
+    """An answer, the measure it rests on, its sources and confidence, per question.
 
     ``snapshot``, ``forecast`` (means over the horizon) and ``correlation`` are one
     row each and enter as scalar subqueries: the questions are only mapped.
@@ -85,7 +88,8 @@ def answer_questions(questions: DataFrame, snapshot: DataFrame, forecast: DataFr
                                                     F.lit("daily sales"))) \
                .when(intent == "recommend", F.array(F.lit("category sales"))) \
                .otherwise(F.array().cast("array<string>"))
-    return asked.withColumns({"answer": answer, "measure": measure, "sources": sources})
+    return asked.withColumns({"answer": answer, "measure": measure, "sources": sources,
+                              "confidence": F.lit(CONFIDENCE)})
 
 
 def build_prompts(questions: DataFrame, context: DataFrame, top: int = 3) -> DataFrame:

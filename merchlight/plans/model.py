@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from merchlight.functions.measures import ratio
+from merchlight.functions.measures import exact_total, ratio, ten_thousandths
 
 # Product categories of the part table, the day the daily stock
 # rule counts from, and the reorder level of every product.
@@ -34,9 +34,12 @@ class SalesModel:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        if name not in self._tables:       # the footer is read once per table
+            self._tables[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self._tables[name]
 
     def as_of(self) -> Column:
         """Last order date, as a scalar subquery over one column of the headers."""
@@ -46,13 +49,16 @@ class SalesModel:
     # -- line and header grain -------------------------------------------------
 
     def lines(self) -> DataFrame:
+        """Sale lines; ``revenue_e4`` is the revenue in ten-thousandths, for sums."""
         price, quantity = F.col("l_extendedprice"), F.col("l_quantity")
+        revenue = price * (1 - F.col("l_discount"))
         return self.table("lineitem").select(
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("product_id"),
             quantity.cast("bigint").alias("quantity"),
             ratio(price, quantity).alias("unit_price"),
-            (price * (1 - F.col("l_discount"))).cast("decimal(18,4)").alias("revenue"))
+            revenue.cast("decimal(18,4)").alias("revenue"),
+            ten_thousandths(revenue).alias("revenue_e4"))
 
     def headers(self, last_days: int | None = None) -> DataFrame:
         """Order id, customer and date; ``last_days`` keeps ``as_of - days`` and later.
@@ -97,14 +103,14 @@ class SalesModel:
         which then runs on the partitioning the aggregate left behind."""
         totals = self.lines().groupBy("order_id").agg(
             F.count("*").alias("sale_rows"), F.sum("quantity").alias("quantity"),
-            F.sum("revenue").alias("revenue"))
+            exact_total("revenue_e4").alias("revenue"))
         return totals.join(self.headers(last_days), "order_id")
 
     def product_totals(self) -> DataFrame:
         """One row per sold product; order headers are not needed for it."""
         totals = self.lines().groupBy("product_id").agg(
             F.count("*").alias("sale_rows"), F.sum("quantity").alias("quantity"),
-            F.sum("revenue").alias("revenue"))
+            exact_total("revenue_e4").alias("revenue"))
         return totals.join(self.products(), "product_id")
 
     def region_totals(self) -> DataFrame:
@@ -132,7 +138,7 @@ class SalesModel:
                                   "product_id")
         names = [f"{c.lower()}_sales" for c in CATEGORIES]
         orders = items.groupBy("order_id").agg(
-            F.sum("quantity").alias("quantity"), F.sum("revenue").alias("revenue"),
+            F.sum("quantity").alias("quantity"), exact_total("revenue_e4").alias("revenue"),
             *[F.sum(F.when(F.col("category") == c, F.col("quantity")).otherwise(0)).alias(n)
               for c, n in zip(CATEGORIES, names)]).join(self.headers(), "order_id")
         daily = orders.groupBy("date").agg(
@@ -162,7 +168,7 @@ class SalesModel:
     def product_daily(self) -> DataFrame:
         """One row per product and date with a sale."""
         return self.dated_lines().groupBy("product_id", "date").agg(
-            F.sum("quantity").alias("quantity"), F.sum("revenue").alias("revenue"))
+            F.sum("quantity").alias("quantity"), exact_total("revenue_e4").alias("revenue"))
 
     def stock_snapshots(self) -> DataFrame:
         """Stock counts per product over time: every shipment leaves a count,

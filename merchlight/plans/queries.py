@@ -443,6 +443,11 @@ def seasonal_forecast(m):
     return forecast.seasonal_forecast(m.region_daily(), "revenue", keys=["region"])
 
 
+@query
+def revenue_forecast(m):
+    return forecast.revenue_forecast(m.daily_totals(), 30)
+
+
 @query
 def demand_forecast(m):
     return _forecast(forecast.demand_forecast(m.product_daily(), as_of=m.as_of()))
@@ -519,7 +524,7 @@ def answers(m):
         m.questions(), kpi.business_snapshot(daily),
         forecast.forecast_vs_actual(ahead, daily, "total_sales"),
         trend.metric_correlation(daily, "total_sales", "inventory_level"))
-    return answered.select("question_id", "intent", "answer", "measure",
+    return answered.select("question_id", "intent", "answer", "measure", "confidence",
                            F.array_join("sources", "; ").alias("sources")).withColumns(
                                rounded(4, "measure"))
 

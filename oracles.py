@@ -614,7 +614,7 @@ SELECT question_id, intent, CASE intent
       || ' in stock, discount slow movers by 10 percent and review supplier lead times'
   ELSE 'Ask about a sales drop, a forecast, inventory or recommendations' END AS answer,
   round(CASE intent WHEN 'drop' THEN change_pct WHEN 'forecast' THEN recent_mean
-    WHEN 'inventory' THEN days_of_supply END, 4) AS measure,
+    WHEN 'inventory' THEN days_of_supply END, 4) AS measure, 0.85::DOUBLE AS confidence,
   CASE intent WHEN 'drop' THEN 'daily sales; inventory' WHEN 'forecast' THEN 'daily sales'
     WHEN 'inventory' THEN 'inventory; daily sales' WHEN 'recommend' THEN 'category sales'
     ELSE '' END AS sources

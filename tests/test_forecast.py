@@ -123,6 +123,19 @@ def test_seasonal_forecast_sees_the_year(series):
     assert [r.yhat for r in got.orderBy("ds").collect()] == pytest.approx(want, rel=0.03)
 
 
+def test_revenue_forecast_of_one_product(spark):
+    rows = [(day(i), p, float(v)) for i, v in enumerate(weekly(100))
+            for p, v in (("rod", v), ("bolt", 1000.0))]
+    sales = spark.createDataFrame(rows, "date date, product_name string, revenue double")
+    got = forecast.revenue_forecast(sales, 7, product="rod").orderBy("ds").collect()
+    assert [r.yhat for r in got] == pytest.approx(weekly(107)[100:], rel=1e-3)
+    both = forecast.revenue_forecast(sales, 7).orderBy("ds").collect()
+    assert [r.yhat for r in both] == pytest.approx([v + 1000 for v in weekly(107)[100:]],
+                                                   rel=1e-3)
+    with pytest.raises(ValueError):
+        forecast.revenue_forecast(sales, 120)
+
+
 def test_demand_methods(spark):
     rows = [(p, day(i), 1 + (i % 7)) for p in (1, 2) for i in range(40)] + [(3, day(39), 30)]
     sales = spark.createDataFrame(rows, "product_id int, date date, quantity int")

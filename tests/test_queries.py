@@ -8,7 +8,7 @@ from tests import compare
 
 SQL = driver.oracle_sql()
 WITHOUT_SQL = {"iforest_daily", "iforest_revenue", "iforest_region", "holt_winters_daily",
-               "holt_winters_region", "seasonal_forecast"}
+               "holt_winters_region", "seasonal_forecast", "revenue_forecast"}
 
 
 @pytest.fixture(scope="session")
