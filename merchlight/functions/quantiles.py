@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 
@@ -60,7 +61,9 @@ def _rank(df: DataFrame, targets: dict[int, tuple]) -> dict[int, float]:
         return {}
     below = df.agg(*[F.count_if(F.col(c).cast("double") < F.lit(low)).alias(f"b{i}")
                      for i, (c, _, low, _) in targets.items()]).first()
-    inside = df.select(F.explode(F.array_compact(F.array(*[
+    near = reduce(Column.__or__, [F.col(c).cast("double").between(low, high)
+                                  for c, _, low, high in targets.values()])
+    inside = df.filter(near).select(F.explode(F.array_compact(F.array(*[
         F.when(F.col(c).cast("double").between(low, high),
                F.struct(F.lit(i).alias("slot"), F.col(c).cast("double").alias("value")))
         for i, (c, _, low, high) in targets.items()]))).alias("v")).select("v.*")

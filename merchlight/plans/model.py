@@ -30,10 +30,14 @@ QUESTION_TEXTS = {
 
 
 class SalesModel:
-    """Reads ``<root>/<table>.parquet`` and derives the sales facts."""
+    """Reads ``<root>/<table>.parquet`` and derives the sales facts.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    ``as_of`` is the reference day; by default the last order date, found by a scan
+    of that one column. A given day saves the scan and prunes at planning time.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, as_of: str | None = None):
+        self.spark, self.root, self.day = spark, root.rstrip("/"), as_of
         self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
@@ -42,7 +46,9 @@ class SalesModel:
         return self._tables[name]
 
     def as_of(self) -> Column:
-        """Last order date, as a scalar subquery over one column of the headers."""
+        """The reference day: given, or a scalar subquery over the order dates."""
+        if self.day is not None:
+            return F.lit(self.day).cast("date")
         return self.table("orders").agg(
             F.max("o_orderdate").cast("date").alias("as_of")).scalar()
 
@@ -60,16 +66,21 @@ class SalesModel:
             revenue.cast("decimal(18,4)").alias("revenue"),
             ten_thousandths(revenue).alias("revenue_e4"))
 
+    def _since(self, days: int) -> Column:
+        if self.day is not None:
+            return F.date_sub(F.lit(self.day).cast("date"), days).cast("timestamp_ntz")
+        return self.table("orders").agg(
+            F.date_sub(F.max("o_orderdate").cast("date"), days)
+            .cast("timestamp_ntz").alias("bound")).scalar()
+
     def headers(self, last_days: int | None = None) -> DataFrame:
         """Order id, customer and date; ``last_days`` keeps ``as_of - days`` and later.
 
-        The bound is a scalar on the stored column, so it reaches the scan.
+        The bound is one value compared with the stored column, so it reaches the scan.
         """
         orders = self.table("orders")
         if last_days is not None:
-            bound = orders.agg(F.date_sub(F.max("o_orderdate").cast("date"), last_days)
-                               .cast("timestamp_ntz").alias("bound")).scalar()
-            orders = orders.filter(F.col("o_orderdate") >= bound)
+            orders = orders.filter(F.col("o_orderdate") >= self._since(last_days))
         return orders.select(
             F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"),
             F.col("o_orderdate").cast("date").alias("date"))

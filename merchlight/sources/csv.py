@@ -26,7 +26,8 @@ def typed(column: str, kind: str) -> Column:
     """``try_cast``, with NaN as null so that means skip it; dates drop their time."""
     raw = F.trim(F.col(f"`{column}`"))
     if kind == "date":
-        return F.to_date(raw.try_cast("timestamp"))
+        return F.when(F.length(raw) <= 10, raw.try_cast("date")) \
+                .otherwise(raw.try_cast("timestamp_ntz").cast("date"))
     value = raw.try_cast(kind)
     return F.when(~F.isnan(value), value) if kind in ("double", "float") else value
 

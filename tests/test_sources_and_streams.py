@@ -1,8 +1,13 @@
 import datetime as dt
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
+from merchlight.plans.model import SalesModel
+
 from merchlight.session import shared_dir, stage
 from merchlight.sources import csv, sinks
 from merchlight.streaming import alerts
@@ -82,6 +87,28 @@ def test_stage_is_a_stored_copy(spark):
         or shared_dir(spark).split(":")[-1] in stored.inputFiles()[0]
 
 
+def test_worker_functions_need_no_package_on_the_executors(tmp_path):
+    from pyspark import cloudpickle
+
+    from merchlight.operators.forecast import _fit_holt_winters
+    path = tmp_path / "f.pkl"
+    path.write_bytes(cloudpickle.dumps(_fit_holt_winters))
+    code = (f"import pickle, numpy as np; f = pickle.load(open({str(path)!r}, 'rb'));"
+            "print(f(np.full(21, 4.0), 7, 2)[0].round(6).tolist())")
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, text=True,
+                          capture_output=True,
+                          env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert done.stdout.strip() == "[4.0, 4.0]", done.stderr
+
+
+def test_given_day_reaches_the_scan(spark, tables):
+    m = SalesModel(spark, tables, as_of="2001-08-01")
+    scanned = SalesModel(spark, tables)
+    plan = m.headers(90)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_orderdate,2001-05-03T00:00)" in plan
+    assert sorted(m.headers(90).collect()) == sorted(scanned.headers(90).collect())
+
+
 EVENTS = "ts timestamp_ntz, kind string, value double"
 
 
