@@ -16,6 +16,7 @@ from merchlight.functions.measures import exact_total, ratio, ten_thousandths
 # Product categories of the part table, the day the daily stock
 # rule counts from, and the reorder level of every product.
 CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+CATEGORY_COLUMNS = [f"{c.lower()}_sales" for c in CATEGORIES]
 STOCK_EPOCH = "1995-01-01"
 REORDER_LEVEL = 10
 
@@ -76,7 +77,9 @@ class SalesModel:
     def headers(self, last_days: int | None = None) -> DataFrame:
         """Order id, customer and date; ``last_days`` keeps ``as_of - days`` and later.
 
-        The bound is one value compared with the stored column, so it reaches the scan.
+        The bound is one value compared with the stored column, as scan filters need
+        it. Parquet skips row groups by dates and numbers; for the zone-less
+        timestamps of these tables Spark 4.1 filters the rows it has read.
         """
         orders = self.table("orders")
         if last_days is not None:
@@ -139,24 +142,28 @@ class SalesModel:
             F.sum("revenue").alias("revenue"))
         return daily.withColumn("inventory_level", stock_level())
 
-    def daily_metrics(self) -> DataFrame:
-        """The wide daily table: totals, stock, customers, one column per category.
+    def order_metrics(self) -> DataFrame:
+        """One row per order with its units split by category.
 
-        Units are split by category while lines are added up per order, so the
-        header join and the distinct customers work on orders, not on lines.
+        The split happens while lines are added up, so the joins above it and the
+        distinct customers work on orders, not on lines.
         """
         items = self.lines().join(self.products().select("product_id", "category"),
                                   "product_id")
-        names = [f"{c.lower()}_sales" for c in CATEGORIES]
-        orders = items.groupBy("order_id").agg(
+        return items.groupBy("order_id").agg(
             F.sum("quantity").alias("quantity"), exact_total("revenue_e4").alias("revenue"),
             *[F.sum(F.when(F.col("category") == c, F.col("quantity")).otherwise(0)).alias(n)
-              for c, n in zip(CATEGORIES, names)]).join(self.headers(), "order_id")
-        daily = orders.groupBy("date").agg(
-            F.sum("quantity").alias("total_sales"), F.sum("revenue").alias("revenue"),
-            F.count_distinct("customer_id").alias("customers"),
-            *[F.sum(n).alias(n) for n in names])
-        return daily.withColumn("inventory_level", stock_level())
+              for c, n in zip(CATEGORIES, CATEGORY_COLUMNS)]
+        ).join(self.headers(), "order_id")
+
+    def daily_metrics(self) -> DataFrame:
+        """The wide daily table: totals, stock, customers, one column per category."""
+        return _by_day(self.order_metrics())
+
+    def region_metrics(self) -> DataFrame:
+        """The wide daily table per region."""
+        orders = self.order_metrics().join(self.customer_regions(), "customer_id")
+        return _by_day(orders, "region")
 
     def category_daily(self) -> DataFrame:
         """(date, category, sales) in units."""
@@ -224,6 +231,14 @@ class SalesModel:
                    .option("pathGlobFilter", "events.parquet").parquet(self.root)
 
 
+def _by_day(orders: DataFrame, *keys: str) -> DataFrame:
+    daily = orders.groupBy(*keys, "date").agg(
+        F.sum("quantity").alias("total_sales"), F.sum("revenue").alias("revenue"),
+        F.count_distinct("customer_id").alias("customers"),
+        *[F.sum(n).alias(n) for n in CATEGORY_COLUMNS])
+    return daily.withColumn("inventory_level", stock_level())
+
+
 def stock_level() -> Column:
     """Derived daily stock: a fixed rule on the day number, 500 to 7999."""
     day = F.datediff(F.col("date"), F.lit(STOCK_EPOCH).cast("date"))

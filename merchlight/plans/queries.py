@@ -163,10 +163,17 @@ def dataset_stats(m):
 
 @query
 def kpi_cards(m):
-    return kpi.kpi_cards(m.daily_metrics()).withColumns({
-        "revenue_recent": money("revenue_recent"),
-        **rounded(4, "sales_day_change_pct", "inventory_day_change_pct",
-                  "mean_customers")})
+    return _cards(kpi.kpi_cards(m.daily_metrics()))
+
+
+@query
+def kpi_cards_by_region(m):
+    return _cards(kpi.kpi_cards(m.region_metrics(), ["region"]))
+
+
+def _cards(df):
+    return df.withColumns({"revenue_recent": money("revenue_recent"), **rounded(
+        4, "sales_day_change_pct", "inventory_day_change_pct", "mean_customers")})
 
 
 # -- series -------------------------------------------------------------------------
@@ -247,6 +254,12 @@ def top_categories(m):
     return best.select("date", "rank", "category", "display_name", "sales")
 
 
+@query
+def top_categories_by_region(m):
+    best = trend.top_categories(m.region_metrics(), 2, keys=["region"])
+    return best.select("region", "date", "rank", "category", "sales")
+
+
 @query
 def metric_correlation(m):
     corr = trend.metric_correlation(m.daily_totals(), "total_sales", "inventory_level")
@@ -491,6 +504,12 @@ def recommendations(m):
     return _flat(advise.recommendations(kpi.business_snapshot(m.daily_metrics())))
 
 
+@query
+def recommendations_by_region(m):
+    state = kpi.business_snapshot(m.region_metrics(), ["region"])
+    return _flat(advise.recommendations(state, ["region"]))
+
+
 @query
 def action_plan(m):
     plan = advise.action_plan(kpi.business_snapshot(m.daily_metrics()))

@@ -48,6 +48,35 @@ BLOCKS = {
         CAST(coalesce(sum(quantity) FILTER (category = 'STANDARD'), 0) AS DOUBLE)
           AS standard_sales
       FROM sale JOIN item USING (product_id) GROUP BY date""",
+    "region_wide": """SELECT region, date, CAST(sum(quantity) AS BIGINT) AS total_sales,
+        sum(revenue) AS revenue, count(DISTINCT customer_id) AS customers,
+        CAST(500 + (date_diff('day', DATE '1995-01-01', date) * 131) % 7500 AS BIGINT)
+          AS inventory_level,
+        row_number() OVER (PARTITION BY region ORDER BY date DESC) AS age,
+        count(*) OVER (PARTITION BY region) AS n
+      FROM sale JOIN buyer USING (customer_id) GROUP BY region, date""",
+    "region_best": """SELECT *, row_number() OVER (PARTITION BY region
+          ORDER BY sales DESC, category_order) AS rank
+      FROM (SELECT region, date, lower(c.category) || '_sales' AS category,
+          CAST(coalesce(sum(quantity) FILTER (item.category = c.category), 0) AS DOUBLE)
+            AS sales, c.category_order
+        FROM sale JOIN buyer USING (customer_id) JOIN item USING (product_id),
+          (VALUES ('ECONOMY', 1), ('LARGE', 2), ('MEDIUM', 3), ('PROMO', 4), ('SMALL', 5),
+                  ('STANDARD', 6)) AS c(category, category_order)
+        WHERE (region, date) IN (SELECT (region, max(date)) FROM sale
+          JOIN buyer USING (customer_id) GROUP BY region)
+        GROUP BY region, date, c.category, c.category_order)""",
+    "region_state": """SELECT *, (recent_mean - previous_mean) / previous_mean * 100
+          AS change_pct, mean_inventory / recent_mean AS days_of_supply FROM (
+        SELECT region,
+          sum(total_sales) FILTER (age <= 30)::DOUBLE / count(*) FILTER (age <= 30)
+            AS recent_mean,
+          sum(total_sales) FILTER (age > least(n, 60) - 30 AND age <= least(n, 60))::DOUBLE
+            / count(*) FILTER (age > least(n, 60) - 30 AND age <= least(n, 60))
+            AS previous_mean,
+          sum(inventory_level) FILTER (age <= 30)::DOUBLE / count(*) FILTER (age <= 30)
+            AS mean_inventory
+        FROM region_wide GROUP BY region)""",
     "long": """SELECT date, category, sales,
         CASE category WHEN 'economy_sales' THEN 1 WHEN 'large_sales' THEN 2
           WHEN 'medium_sales' THEN 3 WHEN 'promo_sales' THEN 4 WHEN 'small_sales' THEN 5
@@ -170,7 +199,8 @@ NEEDS = {
     "segment": ["rfm", "cut"], "retention": ["segment"], "price": ["product_total"],
     "pricing": ["price"], "total": ["sale", "today"], "daily_z": ["daily"],
     "product_z": ["product_day"], "wide_rank": ["wide"], "state": ["wide_rank"],
-    "best": ["long"], "intent": ["asked"],
+    "best": ["long"], "intent": ["asked"], "region_wide": ["sale", "buyer"],
+    "region_best": ["sale", "buyer", "item"], "region_state": ["region_wide"],
 }
 
 
@@ -356,6 +386,18 @@ SELECT max(date) AS as_of, max(total_sales) FILTER (age = 1) AS latest_sales,
   round(sum(customers) FILTER (age <= 7)::DOUBLE / 7, 4) AS mean_customers
 FROM wide_rank""")
 
+ORACLES["kpi_cards_by_region"] = _with("region_wide", """
+SELECT region, max(date) AS as_of, max(total_sales) FILTER (age = 1) AS latest_sales,
+  round((max(total_sales) FILTER (age = 1) - max(total_sales) FILTER (age = 2))::DOUBLE
+    / max(total_sales) FILTER (age = 2) * 100, 4) AS sales_day_change_pct,
+  max(inventory_level) FILTER (age = 1) AS latest_inventory,
+  round((max(inventory_level) FILTER (age = 1) - max(inventory_level) FILTER (age = 2))
+    ::DOUBLE / max(inventory_level) FILTER (age = 2) * 100, 4) AS inventory_day_change_pct,
+  CAST(round(sum(revenue) FILTER (age <= 30), 2) AS DOUBLE) AS revenue_recent,
+  round(sum(customers) FILTER (age <= 7)::DOUBLE / count(*) FILTER (age <= 7), 4)
+    AS mean_customers
+FROM region_wide GROUP BY region""")
+
 # -- series -------------------------------------------------------------------------------
 
 ORACLES["period_over_period"] = _with("daily", f"""
@@ -411,6 +453,10 @@ ORACLES["top_categories"] = _with("best", """
 SELECT date, CAST(rank AS INTEGER) AS rank, category, display_name, sales
 FROM best WHERE rank <= 3""")
 
+ORACLES["top_categories_by_region"] = _with("region_best", """
+SELECT region, date, CAST(rank AS INTEGER) AS rank, category, sales
+FROM region_best WHERE rank <= 2""")
+
 for _name, _source, _key in (("", "daily", ""), ("_by_region", "region_day", "region")):
     _lead, _group = (f"{_key},", f"GROUP BY {_key}") if _key else ("", "")
     _part = f"PARTITION BY {_key}" if _key else ""
@@ -558,6 +604,25 @@ SELECT 'category', 'Back ' || display_name,
 
 ORACLES["recommendations"] = _with("state best", _ADVICE)
 
+_NAME = "upper(category[1]) || lower(replace(category, '_sales', '')[2:])"
+ORACLES["recommendations_by_region"] = _with("region_state region_best", f"""
+SELECT region, 'restock' AS type, 'Restock soon' AS title,
+  'Stock covers ' || CAST(days_of_supply AS DECIMAL(38,1)) || ' days of sales' AS description,
+  'high' AS impact, 'Order the fastest sellers; Confirm supplier lead times' AS action_items
+FROM region_state WHERE days_of_supply < 20
+UNION ALL
+SELECT region, 'inventory', 'Release tied-up stock',
+  'Stock covers ' || CAST(days_of_supply AS DECIMAL(38,1)) || ' days of sales',
+  'medium', 'Pause reorders; Clear slow items' FROM region_state WHERE days_of_supply > 90
+UNION ALL
+SELECT region, 'promotion', 'Win back sales',
+  'Sales changed by ' || CAST(change_pct AS DECIMAL(38,1)) || ' percent', 'high',
+  'Plan a promotion; Check supply of key items' FROM region_state WHERE change_pct < -15
+UNION ALL
+SELECT region, 'category', 'Back ' || {_NAME},
+  {_NAME} || ' sold ' || CAST(sales AS DECIMAL(38,0)) || ' on the newest day', 'medium',
+  'Keep it in stock; Feature it in marketing' FROM region_best WHERE rank <= 2""")
+
 ORACLES["action_plan"] = _with("state best", """
 SELECT 1 AS step, 'stock' AS topic,
   CASE WHEN days_of_supply < 20 THEN 'urgent_restock' ELSE 'hold' END AS decision,
