@@ -203,7 +203,8 @@ class SalesModel:
         """Questions asked: one per event, worded by its type, and every user turn.
 
         ``history`` is the turn before, found by an equi-join on conversation and
-        turn, so a long conversation is not gathered in one task.
+        turn, so a long conversation is not gathered in one task; copies of a turn
+        count once on that side, so they do not pair up.
         """
         events = self.table("events")
         wording = F.lit(None).cast("string")
@@ -218,8 +219,8 @@ class SalesModel:
             "conv_id", "turn", F.concat_ws("-", F.lit("turn"), "conv_id", "turn")
             .alias("question_id"), F.col("text").alias("question"))
         if with_history:
-            before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"),
-                                  F.col("text").alias("history"))
+            before = turns.groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(
+                F.max("text").alias("history"))
             said = said.join(before, ["conv_id", "turn"], "left")
         said = said.drop("conv_id", "turn")
         return asked.unionByName(said, allowMissingColumns=True)

@@ -175,7 +175,8 @@ BLOCKS = {
       FROM events
       UNION ALL
       SELECT 'turn-' || a.conv_id || '-' || a.turn, b.text, a.text
-      FROM conversations a LEFT JOIN conversations b
+      FROM conversations a LEFT JOIN (SELECT conv_id, turn, max(text) AS text
+          FROM conversations GROUP BY conv_id, turn) b
         ON a.conv_id = b.conv_id AND a.turn = b.turn + 1
       WHERE a.role = 'user'""",
     "intent": """SELECT *, CASE

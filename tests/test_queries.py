@@ -63,6 +63,11 @@ def skewed(tables, tmp_path_factory):
         "events": """SELECT * REPLACE (
             CASE WHEN event_id % 3 = 0 THEN 'view' ELSE event_type END AS event_type)
           FROM {src}""",
+        # copies of two turns of one conversation
+        "conversations": """SELECT * EXCLUDE (n) REPLACE (
+            CASE WHEN n % 3 = 0 THEN 0 ELSE conv_id END AS conv_id,
+            CASE WHEN n % 3 = 0 THEN n % 2 ELSE turn END AS turn)
+          FROM (SELECT *, row_number() OVER () AS n FROM {src})""",
     }
     for name in ("region nation customer supplier part orders lineitem events documents "
                  "embeddings pages benchmark labels conversations").split():
@@ -76,7 +81,8 @@ SKEW_NAMES = ["sales_fact", "kpi_summary", "revenue_by_region", "revenue_by_cate
               "kpi_cards", "daily_wide", "dataset_stats", "rfm_segments",
               "retention_actions", "zscore_products", "inventory_status", "restock_list",
               "pricing_suggestions", "demand_forecast", "period_over_period_short",
-              "answers", "stream_daily_totals", "stream_daily_alerts"]
+              "answers", "prompt_context", "stored_sales_trend",
+              "recommendations_by_region", "stream_daily_totals", "stream_daily_alerts"]
 
 
 @pytest.mark.parametrize("name", SKEW_NAMES)
@@ -85,7 +91,7 @@ def test_query_on_skewed_tables(spark, skewed, name):
     assert compare.differences(df, compare.connect(skewed), SQL[name]) == []
 
 
-@pytest.mark.parametrize("name", ["sales_fact", "zscore_products", "answers"])
+@pytest.mark.parametrize("name", ["sales_fact", "zscore_products", "prompt_context"])
 def test_shuffled_joins_split_hot_keys(spark, skewed, name):
     """Without broadcasts and with a low skew bound, results stay the same."""
     conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
