@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 
-from merchlight.llm import near_dedup
+from merchlight.llm import near_dedup, packing
 from merchlight.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +48,8 @@ SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles,
   coalesce(lowest.r, sets.doc_id) = sets.doc_id AS kept
 FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN lowest ON classes.c = lowest.c
 """
+
+
+@query
+def op2_best_fit_packing(spark, root):
+    return packing.pack_documents(documents(spark, root), path("byte_bpe_50k.json"))
