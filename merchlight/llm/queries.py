@@ -7,8 +7,8 @@ from collections.abc import Callable
 from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 
-from merchlight.llm import near_dedup, packing
-from merchlight.llm.common import documents
+from merchlight.llm import near_dedup, packing, quality, token_counts
+from merchlight.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,15 @@ FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN lowest ON classes.c
 @query
 def op2_best_fit_packing(spark, root):
     return packing.pack_documents(documents(spark, root), path("byte_bpe_50k.json"))
+
+
+@query
+def op3_token_counts(spark, root):
+    return token_counts.count_tokens(documents(spark, root), path("piece_bpe_32k.model"),
+                                     limit=4096)
+
+
+@query
+def op10_line_labelling_quality(spark, root):
+    docs = documents(spark, root)
+    return quality.quality(docs, quality.learn_chain(docs, table(spark, root, "labels")))
