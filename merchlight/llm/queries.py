@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from public_tokenizers import path
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from merchlight.llm import near_dedup, packing, quality, token_counts
+from merchlight.llm import mixing, near_dedup, packing, passages, quality, token_counts
 from merchlight.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,56 @@ def op3_token_counts(spark, root):
 def op10_line_labelling_quality(spark, root):
     docs = documents(spark, root)
     return quality.quality(docs, quality.learn_chain(docs, table(spark, root, "labels")))
+
+
+@query
+def op4_mixing_sources(spark, root):
+    return mixing.mix_sources(documents(spark, root)).select(
+        "doc_id", "source", "lang", F.col("_topic").alias("topic"),
+        F.col("_n_tokens").alias("n_tokens"), F.col("_probability").alias("probability"),
+        F.col("_sampled").alias("sampled"))
+
+
+def _mixing_sql() -> str:
+    kinds = ("source", "lang", "topic")
+    parts = [r"""marked AS MATERIALIZED (SELECT doc_id, source, lang,
+  coalesce(source, 'unknown') AS source_, coalesce(lang, 'unknown') AS lang_,
+  CASE WHEN contains(text, ' | ') THEN 'table' WHEN regexp_matches(text, '[0-9]{3}')
+    THEN 'figures' ELSE 'prose' END AS topic_,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n FROM documents)""",
+             """cells AS MATERIALIZED (SELECT source_, lang_, topic_, sum(n)::DOUBLE AS t
+  FROM marked GROUP BY ALL HAVING sum(n) > 0)"""]
+    for kind in kinds:
+        parts.append(f"""target_{kind} AS MATERIALIZED (SELECT {kind}_,
+  s / (sum(s) OVER ()) * (SELECT sum(t) FROM cells) AS target, 1.0::DOUBLE AS x0
+  FROM (SELECT {kind}_, pow(sum(t), {mixing.POWERS[kind]}) AS s FROM cells GROUP BY 1))""")
+    now = {kind: f"(SELECT {kind}_, x0 AS x FROM target_{kind})" for kind in kinds}
+    for k in range(mixing.ROUNDS):
+        for kind in kinds:
+            a, b = (other for other in kinds if other != kind)
+            parts.append(f"""{kind}_{k} AS MATERIALIZED (SELECT {kind}_, any_value(target) /
+  sum(t * a.x * b.x) AS x FROM cells JOIN {now[a]} a USING ({a}_) JOIN {now[b]} b USING ({b}_)
+  JOIN target_{kind} USING ({kind}_) GROUP BY 1)""")
+            now[kind] = f"{kind}_{k}"
+    parts.append(f"""ratios AS MATERIALIZED (SELECT source_, lang_, topic_,
+  s.x * l.x * p.x AS r FROM cells JOIN {now['source']} s USING (source_)
+  JOIN {now['lang']} l USING (lang_) JOIN {now['topic']} p USING (topic_))""")
+    return "WITH " + ",\n".join(parts) + """
+SELECT doc_id, source, lang, topic_ AS topic, n AS n_tokens,
+  round(coalesce(r / (SELECT max(r) FROM ratios), 0), 6) AS probability,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':1'), 1, 12))::BIGINT / 281474976710656.0
+    < round(coalesce(r / (SELECT max(r) FROM ratios), 0), 6) AS sampled
+FROM marked LEFT JOIN ratios USING (source_, lang_, topic_)"""
+
+
+ORACLES["op4_mixing_sources"] = _mixing_sql()
+
+
+@query
+def op7_compact_window_dedup(spark, root):
+    docs = documents(spark, root).select("doc_id", "text")
+    return passages.remaining(docs, passages.repeated_passages(docs)).select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
+        F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"),
+        F.col("_n_spans").alias("n_spans"),
+        F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"))
