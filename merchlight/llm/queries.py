@@ -7,7 +7,8 @@ from collections.abc import Callable
 from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from merchlight.llm import mixing, near_dedup, packing, passages, quality, token_counts
+from merchlight.llm import (
+    mixing, near_dedup, packing, passages, quality, suffix_dedup, token_counts)
 from merchlight.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +119,8 @@ def op7_compact_window_dedup(spark, root):
         F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"),
         F.col("_n_spans").alias("n_spans"),
         F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query
+def op9_suffix_array_dedup(spark, root):
+    return suffix_dedup.repeated_bytes(documents(spark, root), width=200)
