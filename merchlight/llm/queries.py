@@ -8,7 +8,8 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from merchlight.llm import (
-    mixing, near_dedup, packing, passages, quality, suffix_dedup, token_counts)
+    language, mixing, near_dedup, neighbours, packing, passages, quality, suffix_dedup,
+    token_counts)
 from merchlight.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +125,18 @@ def op7_compact_window_dedup(spark, root):
 @query
 def op9_suffix_array_dedup(spark, root):
     return suffix_dedup.repeated_bytes(documents(spark, root), width=200)
+
+
+@query
+def op5_kmeans_tree_neighbours(spark, root):
+    vectors = table(spark, root, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+@query
+def op8_rank_order_language(spark, root):
+    docs = documents(spark, root)
+    held_out = language.held_out(F.col("doc_id"))
+    profiles = language.learn_profiles(docs.where(~held_out))
+    return language.predict_language(docs, profiles).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")
