@@ -8,9 +8,9 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from merchlight.llm import (
-    language, mixing, near_dedup, neighbours, packing, passages, quality, suffix_dedup,
+    id_files, language, mixing, near_dedup, neighbours, packing, passages, quality, suffix_dedup,
     token_counts)
-from merchlight.llm.common import documents, table
+from merchlight.llm.common import documents, new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +140,10 @@ def op8_rank_order_language(spark, root):
     profiles = language.learn_profiles(docs.where(~held_out))
     return language.predict_language(docs, profiles).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_range_coded_ids(spark, root):
+    target = new_path(spark, "llm-ids")
+    id_files.write_ids(documents(spark, root), target, path("word_bpe_49k.json"), end_id=2)
+    return id_files.read_ids(spark, target)
