@@ -20,7 +20,7 @@ from merchlight.llm.range_coder import decode, encode
 from merchlight.llm.tokens import encoder
 
 #: Ids of a chunk that close it (a longer document makes a longer one).
-CHUNK_IDS = 1 << 20
+CHUNK_IDS = 1 << 22
 SCHEMA = "task int, chunk int, doc_ids array<long>, lengths array<long>, n_ids long, ids binary"
 
 

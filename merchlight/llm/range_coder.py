@@ -20,12 +20,16 @@ import zlib
 import numpy as np
 
 MAGIC = b"idcm"
-BLOCK_IDS = 2048
-SLOTS_1, SLOTS_2 = 1 << 11, 1 << 12
+BLOCK_IDS = 1024
+SLOTS = (1 << 10, 1 << 11)    # of the tables of order 1 and 2
 SURE = 8                      # levels of confidence; 0: nothing predicted yet
-SCALE = 1 << 12               # of the choice between the orders
+SCALE_BITS = 12               # of the choice between the orders
+SCALE = 1 << SCALE_BITS
+RATE = 4                      # a share moves by 1/16 of what it was off
 REFRESH = 128                 # steps between updates of the order-0 intervals
-TOP, BOTTOM, MASK = 1 << 24, 1 << 16, 0xFFFFFFFF
+#: Interval states have 56 bits, of which 16 leave at a time once they are settled.
+BITS, TOP, BOTTOM = 56, 1 << 40, 1 << 36
+MASK = (1 << BITS) - 1
 
 
 class Damaged(ValueError):
@@ -33,105 +37,131 @@ class Damaged(ValueError):
 
 
 class Models:
-    """The models of many blocks; ``n`` blocks are still active, the first ones."""
+    """The models of many blocks; of these the first ``n`` are still active."""
 
     def __init__(self, blocks: int, high: int):
-        self.row = np.arange(blocks)
-        self.guess = [np.zeros((blocks, s), np.int64) for s in (SLOTS_1, SLOTS_2)]
-        self.sure = [np.zeros((blocks, s), np.int8) for s in (SLOTS_1, SLOTS_2)]
-        self.right = [np.ones((blocks, SURE), np.int64) for _ in range(2)]
-        self.asked = [np.full((blocks, SURE), 2, np.int64) for _ in range(2)]
-        self.counts = np.ones((blocks, high), np.int64)
-        self.last = np.zeros((2, blocks), np.int64)
+        self.high = high
+        self.table = [np.zeros(blocks * s, np.int64) for s in SLOTS]   # guess and its level
+        self.base = [np.arange(blocks) * s for s in SLOTS]
+        self.share = [np.full(blocks * SURE, SCALE // 2, np.int64) for _ in SLOTS]
+        self.levels = np.arange(blocks) * SURE
+        self.counts = np.ones(blocks * high, np.int64)
+        self.rows = np.arange(blocks) * high
+        self.last = [np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)]
         self.refresh()
 
     def refresh(self) -> None:
-        self.bounds = np.zeros((len(self.counts), self.counts.shape[1] + 1), np.int64)
-        np.cumsum(self.counts, axis=1, out=self.bounds[:, 1:])
+        grid = self.counts.reshape(-1, self.high)
+        bounds = np.zeros((len(grid), self.high + 1), np.int64)
+        np.cumsum(grid, axis=1, out=bounds[:, 1:])
+        self.bounds, self.width = bounds.ravel(), self.high + 1
 
     def predict(self, n: int):
         """Guesses of order 1 and 2 and their shares of ``SCALE`` (0: no such choice)."""
-        row, one, two = self.row[:n], self.last[0, :n], self.last[1, :n]
-        self.slot = ((one * 40503 >> 4) % SLOTS_1, ((one * 73244475 + two * 40507) >> 7) % SLOTS_2)
-        guess = [g[row, s] for g, s in zip(self.guess, self.slot)]
-        self.level = [c[row, s] for c, s in zip(self.sure, self.slot)]
-        right = [r[row, c] for r, c in zip(self.right, self.level)]
-        asked = [a[row, c] for a, c in zip(self.asked, self.level)]
-        share_2 = np.where(self.level[1] > 0, np.clip(
-            SCALE * right[1] // asked[1], 1, SCALE - 64), 0)
-        rest = SCALE - share_2
-        share_1 = np.where((self.level[0] > 0) & (guess[0] != guess[1]) | (share_2 == 0) &
-                           (self.level[0] > 0), np.clip(rest * right[0] // asked[0], 1, rest - 32), 0)
-        return guess, share_1, share_2
-
-    def update(self, n: int, ids: np.ndarray, choice: np.ndarray, guess, share_1, share_2) -> None:
+        one, two = self.last[0][:n], self.last[1][:n]
+        slot = ((one * 40503 >> 4) & SLOTS[0] - 1, (one * 73244475 + two * 40507 >> 7) & SLOTS[1] - 1)
+        self.at = [b[:n] + s for b, s in zip(self.base, slot)]
+        found = [t.take(i) for t, i in zip(self.table, self.at)]
+        self.guess = [f >> 3 for f in found]
+        self.level = [f & 7 for f in found]
+        self.spot = [self.levels[:n] + k for k in self.level]
+        self.known = [s.take(i) for s, i in zip(self.share, self.spot)]
+        share_2 = self.known[1] * (self.level[1] > 0)
+        apart = (self.level[0] > 0) & ((share_2 == 0) | (self.guess[0] != self.guess[1]))
+        share_1 = ((SCALE - share_2) * self.known[0] >> SCALE_BITS) * apart
+        return share_1, share_2
+
+    def update(self, n: int, ids: np.ndarray, choice: np.ndarray, share_1) -> None:
         """choice: 2 or 1 for the order that was right, 0 if neither was."""
-        row = self.row[:n]
-        self.asked[1][row, self.level[1]] += share_2 > 0
-        self.right[1][row, self.level[1]] += choice == 2
-        tried = (share_1 > 0) & (choice != 2)
-        self.asked[0][row, self.level[0]] += tried
-        self.right[0][row, self.level[0]] += choice == 1
-        for k in range(2):
-            hit = guess[k] == ids
+        for k, asked in ((1, None), (0, (choice != 2) & (share_1 > 0))):
+            right = self.guess[k] == ids
+            moved = self.known[k] + ((right * (SCALE - 64) + 32 - self.known[k]) >> RATE)
+            if asked is not None:
+                moved = np.where(asked, moved, self.known[k])
+            self.share[k][self.spot[k]] = moved
             level = self.level[k]
-            fresh = ~hit & (level <= 1)
-            self.sure[k][row, self.slot[k]] = np.where(
-                hit, np.minimum(level + 1, SURE - 1), np.where(fresh, 1, level >> 1))
-            self.guess[k][row, self.slot[k]] = np.where(fresh, ids, guess[k])
-        missed = row[choice == 0]
-        self.counts[missed, ids[missed] >> 8] += 1
-        self.last[1, :n] = self.last[0, :n]
-        self.last[0, :n] = ids
+            fresh = ~right & (level <= 1)
+            level = np.where(right, np.minimum(level + 1, SURE - 1), np.where(fresh, 1, level >> 1))
+            self.table[k][self.at[k]] = np.where(fresh, ids, self.guess[k]) << 3 | level
+        missed = np.flatnonzero(choice == 0)
+        self.counts[self.rows[missed] + (ids[missed] >> 8)] += 1
+        self.last[1][:n] = self.last[0][:n]
+        self.last[0][:n] = ids
+
+    def interval(self, rows: np.ndarray, high: np.ndarray):
+        at = rows * self.width + high
+        begin = self.bounds.take(at)
+        return begin, self.bounds.take(at + 1) - begin
+
+    def totals(self, rows: np.ndarray) -> np.ndarray:
+        return self.bounds.take((rows + 1) * self.width - 1)
 
 
 class Coder:
-    """Interval states of many blocks, and their bytes."""
+    """Interval states of many blocks, and their bytes as 16-bit words."""
 
-    def __init__(self, data: np.ndarray, reading: bool):
-        blocks = len(data)
+    def __init__(self, words: np.ndarray, reading: bool):
+        blocks = len(words)
         self.low, self.size = np.zeros(blocks, np.int64), np.full(blocks, MASK, np.int64)
-        self.at, self.data, self.reading = np.zeros(blocks, np.int64), data, reading
-        self.code = np.zeros(blocks, np.int64)
-        if reading:
-            for _ in range(4):
-                self._shift_in(np.arange(blocks))
-
-    def _shift_in(self, rows: np.ndarray) -> None:
-        at = np.minimum(self.at[rows], self.data.shape[1] - 1)
-        self.code[rows] = (self.code[rows] << 8 & MASK) | self.data[rows, at]
+        self.words, self.wide, self.reading = words.ravel(), words.shape[1], reading
+        self.begin = np.arange(blocks) * self.wide
+        self.at = np.zeros(blocks, np.int64)
+        if reading:                            # 56 bits: three words and half of the fourth
+            head = words[:, :4].astype(np.int64)
+            self.code = head[:, 0] << 40 | head[:, 1] << 24 | head[:, 2] << 8 | head[:, 3] >> 8
+            self.at += 3
+
+    def _next(self, rows: np.ndarray) -> np.ndarray:
+        """The 16 bits that follow, half a word on."""
+        at = self.begin[rows] + np.minimum(self.at[rows], self.wide - 2)
         self.at[rows] += 1
+        pair = self.words.take(at).astype(np.int64) << 16 | self.words.take(at + 1)
+        return pair >> 8 & 0xFFFF
 
-    def value(self, rows, total) -> np.ndarray:
-        step = self.size[rows] // total
-        return np.clip((self.code[rows] - self.low[rows]) // step, 0, total - 1)
+    def choose(self, n: int, begin: np.ndarray, width: np.ndarray) -> None:
+        step = self.size[:n] >> SCALE_BITS
+        self.low[:n] += begin * step
+        self.size[:n] = width * step
 
     def narrow(self, rows, begin, width, total) -> None:
         step = self.size[rows] // total
-        low, size = self.low[rows] + begin * step, width * step
-        self.low[rows], self.size[rows] = low, size
+        self.low[rows] += begin * step
+        self.size[rows] = width * step
+
+    def value(self, rows, total) -> np.ndarray:
+        step = self.size[rows] // total
+        return np.minimum((self.code[rows] - self.low[rows]) // step, total - 1)
+
+    def settle(self, n: int) -> None:
+        low, size = self.low[:n], self.size[:n]
+        rows = np.flatnonzero(((low ^ (low + size)) < TOP) | (size < BOTTOM))
         while len(rows):
+            low, size = self.low[rows], self.size[rows]
             settled = (low ^ (low + size)) < TOP
-            tight = ~settled & (size < BOTTOM)
-            size = np.where(tight, -low & (BOTTOM - 1), size)
-            go = np.flatnonzero(settled | tight)
-            if not len(go):
-                return
-            rows, low, size = rows[go], low[go], size[go]
+            size = np.where(settled, size, -low & (BOTTOM - 1))
             if self.reading:
-                self._shift_in(rows)
+                self.code[rows] = (self.code[rows] << 16 & MASK) | self._next(rows)
             else:
-                self.data[rows, self.at[rows]] = low >> 24
+                self.words[self.begin[rows] + self.at[rows]] = low >> 40
                 self.at[rows] += 1
-            low, size = low << 8 & MASK, size << 8 & MASK
+            low, size = low << 16 & MASK, size << 16 & MASK
             self.low[rows], self.size[rows] = low, size
+            rows = rows[((low ^ (low + size)) < TOP) | (size < BOTTOM)]
 
     def finish(self) -> None:
-        for shift in (24, 16, 8, 0):
-            self.data[np.arange(len(self.at)), self.at] = self.low >> shift & 255
+        for shift in (40, 24, 8, -8):
+            part = self.low >> shift if shift > 0 else self.low << -shift
+            self.words[self.begin + self.at] = part & 0xFFFF
             self.at += 1
 
 
+def _choices(choice, share_1, share_2):
+    """Begin and width of each choice's interval: order 2, order 1, neither."""
+    rest = SCALE - share_1 - share_2
+    begin = np.where(choice == 2, 0, share_2 + np.where(choice == 1, 0, share_1))
+    return begin, np.where(choice == 2, share_2, np.where(choice == 1, share_1, rest))
+
+
 def _sizes(n: int, block: int) -> np.ndarray:
     return np.array([block] * (n // block) + [n % block] * (n % block > 0), np.int64)
 
@@ -146,34 +176,33 @@ def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK_IDS) -> bytes:
         return MAGIC + struct.pack("<II", 0, high)
     grid = np.zeros((blocks, block), np.int64)
     grid.ravel()[:len(ids)] = ids
-    coder = Coder(np.zeros((blocks, 6 * block + 16), np.uint8), reading=False)
+    grid = np.ascontiguousarray(grid.T)                   # a step is a row
+    coder = Coder(np.zeros((blocks, 2 * block + 8), np.uint16), reading=False)
     models = Models(blocks, high)
     for k in range(int(sizes[0])):
         n = blocks if k < sizes[-1] else blocks - 1
         if k % REFRESH == 0 and k:
             models.refresh()
-        now, rows = grid[:n, k], models.row[:n]
-        guess, share_1, share_2 = models.predict(n)
-        choice = np.where((share_2 > 0) & (guess[1] == now), 2,
-                          np.where((share_1 > 0) & (guess[0] == now), 1, 0))
-        begin = np.where(choice == 2, 0, np.where(choice == 1, share_2, share_2 + share_1))
-        width = np.where(choice == 2, share_2, np.where(
-            choice == 1, share_1, SCALE - share_2 - share_1))
-        coder.narrow(rows, begin, width, SCALE)
-        missed = rows[choice == 0]
+        now = grid[k, :n]
+        share_1, share_2 = models.predict(n)
+        choice = np.where((share_2 > 0) & (models.guess[1] == now), 2,
+                          (share_1 > 0) & (models.guess[0] == now))
+        coder.choose(n, *_choices(choice, share_1, share_2))
+        missed = np.flatnonzero(choice == 0)
         if len(missed):
             x = now[missed]
-            a, b = models.bounds[missed, x >> 8], models.bounds[missed, (x >> 8) + 1]
-            coder.narrow(missed, a, b - a, models.bounds[missed, -1])
+            coder.narrow(missed, *models.interval(missed, x >> 8), models.totals(missed))
             coder.narrow(missed, x & 255, 1, 256)
-        models.update(n, now, choice, guess, share_1, share_2)
+        coder.settle(n)
+        models.update(n, now, choice, share_1)
     coder.finish()
-    small = grid.astype("<u4")
-    head = [(int(s), int(coder.at[i]), zlib.crc32(small[i, :s].tobytes()))
+    small = np.ascontiguousarray(grid.T).astype("<u4")
+    words = coder.words.reshape(blocks, -1).astype("<u2")
+    head = [(int(s), 2 * int(coder.at[i]), zlib.crc32(small[i, :s].tobytes()))
             for i, s in enumerate(sizes)]
     return b"".join([MAGIC, struct.pack("<II", blocks, high),
                      *(struct.pack("<III", *h) for h in head),
-                     *(coder.data[i, :coder.at[i]].tobytes() for i in range(blocks))])
+                     *(words[i, :coder.at[i]].tobytes() for i in range(blocks))])
 
 
 def decode(payload: bytes) -> np.ndarray:
@@ -186,42 +215,41 @@ def decode(payload: bytes) -> np.ndarray:
         return np.zeros(0, np.uint32)
     sizes, lengths = head[:, 0], head[:, 1]
     begin = 12 + 12 * blocks + np.concatenate(([0], np.cumsum(lengths)))
-    data = np.zeros((blocks, int(lengths.max()) + 4), np.uint8)
+    words = np.zeros((blocks, int(lengths.max()) // 2 + 8), np.uint16)
     for i in range(blocks):
-        part = payload[begin[i]:begin[i + 1]]
-        data[i, :len(part)] = np.frombuffer(part, np.uint8)
-    coder, models = Coder(data, reading=True), Models(blocks, high)
-    grid = np.zeros((blocks, int(sizes[0])), np.int64)
+        part = np.frombuffer(payload, "<u2", int(lengths[i]) // 2, int(begin[i]))
+        words[i, :len(part)] = part
+    coder, models = Coder(words, reading=True), Models(blocks, high)
+    grid = np.zeros((int(sizes[0]), blocks), np.int64)
     for k in range(int(sizes[0])):
         n = blocks if k < sizes[-1] else blocks - 1
         if k % REFRESH == 0 and k:
             models.refresh()
-        rows = models.row[:n]
-        guess, share_1, share_2 = models.predict(n)
-        v = coder.value(rows, SCALE)
-        choice = np.where(v < share_2, 2, np.where(v < share_2 + share_1, 1, 0))
-        begin_ = np.where(choice == 2, 0, np.where(choice == 1, share_2, share_2 + share_1))
-        width = np.where(choice == 2, share_2, np.where(
-            choice == 1, share_1, SCALE - share_2 - share_1))
-        coder.narrow(rows, begin_, width, SCALE)
-        now = np.where(choice == 2, guess[1], guess[0])
-        missed = rows[choice == 0]
+        share_1, share_2 = models.predict(n)
+        v = (coder.code[:n] - coder.low[:n]) // (coder.size[:n] >> SCALE_BITS)
+        choice = np.where(v < share_2, 2, v < share_2 + share_1)
+        coder.choose(n, *_choices(choice, share_1, share_2))
+        now = np.where(choice == 2, models.guess[1], models.guess[0])
+        missed = np.flatnonzero(choice == 0)
         if len(missed):
-            bounds = models.bounds
-            total = bounds[missed, -1]
+            total = models.totals(missed)
             v = coder.value(missed, total)
-            lo, hi = np.zeros(len(missed), np.int64), np.full(len(missed), high)
-            while (open_ := hi - lo > 1).any():
-                mid = lo + hi >> 1
-                up = bounds[missed, mid] <= v
-                lo, hi = np.where(open_ & up, mid, lo), np.where(open_ & ~up, mid, hi)
-            coder.narrow(missed, bounds[missed, lo], bounds[missed, lo + 1] - bounds[missed, lo],
-                         total)
+            at = missed * models.width
+            lo, step = np.zeros(len(missed), np.int64), 1 << (high.bit_length() - 1)
+            while step:
+                up = lo + step
+                inside = up < high
+                lo = np.where(inside & (models.bounds.take(
+                    at + np.where(inside, up, 0)) <= v), up, lo)
+                step >>= 1
+            coder.narrow(missed, *models.interval(missed, lo), total)
             low = coder.value(missed, 256)
             coder.narrow(missed, low, 1, 256)
             now[missed] = lo << 8 | low
-        grid[:n, k] = now
-        models.update(n, now, choice, guess, share_1, share_2)
+        coder.settle(n)
+        grid[k, :n] = now
+        models.update(n, now, choice, share_1)
+    grid = np.ascontiguousarray(grid.T)
     small = grid.astype("<u4")
     for i in range(blocks):
         if zlib.crc32(small[i, :sizes[i]].tobytes()) != head[i, 2]:
