@@ -44,11 +44,13 @@ def mix_sources(docs: DataFrame, *, topic: Column | None = None, powers: dict |
     """
     powers = powers or POWERS
     text = F.col("text").cast("string")
-    marked = docs.withColumns({
-        "_topic": F.coalesce(topic_of(text) if topic is None else topic, F.lit("unknown")),
-        "_n_tokens": n_words(text),
-        "_source": F.coalesce(F.col("source").cast("string"), F.lit("unknown")),
-        "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("unknown"))})
+    # the documents' own columns travel as one struct, so that no name can clash
+    marked = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.coalesce(topic_of(text) if topic is None else topic, F.lit("unknown")).alias("_topic"),
+        n_words(text).alias("_n_tokens"),
+        F.coalesce(F.col("source").cast("string"), F.lit("unknown")).alias("_source"),
+        F.coalesce(F.col("lang").cast("string"), F.lit("unknown")).alias("_lang"))
     kinds = {"source": "_source", "lang": "_lang", "topic": "_topic"}
     cells = put(marked.groupBy(*kinds.values()).agg(F.sum("_n_tokens").alias("_t"))
                 .where("_t > 0"), "cells")
@@ -81,9 +83,9 @@ def mix_sources(docs: DataFrame, *, topic: Column | None = None, powers: dict |
     ratios = put(rows.select(*kinds.values(), (weight / F.col("_t")).alias("_ratio")), "ratios")
     top = ratios.agg(F.max("_ratio")).first()[0] or 1.0
     draw = F.conv(F.substring(F.md5(F.concat(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 12),
+        F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 12),
         16, 10).cast("double") / F.lit(float(16 ** 12))
-    return marked.join(ratios, [*kinds.values()], "left").select(
-        *[marked[c] for c in docs.columns], "_topic", "_n_tokens",
-        F.round(F.coalesce(F.col("_ratio") / top, F.lit(0.0)), 6).alias("_probability")) \
-        .withColumn("_sampled", draw < F.col("_probability"))
+    return marked.join(ratios, [*kinds.values()], "left").withColumn(
+        "_probability", F.round(F.coalesce(F.col("_ratio") / top, F.lit(0.0)), 6)).select(
+        "row.*", "_topic", "_n_tokens", "_probability",
+        (draw < F.col("_probability")).alias("_sampled"))

@@ -227,6 +227,8 @@ def decode(payload: bytes) -> np.ndarray:
             models.refresh()
         share_1, share_2 = models.predict(n)
         v = (coder.code[:n] - coder.low[:n]) // (coder.size[:n] >> SCALE_BITS)
+        if v.min() < 0 or v.max() >= SCALE:
+            raise Damaged("a block's bytes lead outside its intervals")
         choice = np.where(v < share_2, 2, v < share_2 + share_1)
         coder.choose(n, *_choices(choice, share_1, share_2))
         now = np.where(choice == 2, models.guess[1], models.guess[0])
