@@ -26,12 +26,19 @@ def fill_days(daily: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFra
     Each row spreads itself up to the day before the next one: no second scan
     and no join with a calendar.
     """
+    return _filled(daily, value, keys).select(*keys, "ds", "y")
+
+
+def _filled(daily: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """``fill_days`` with whether a day is a given row, and its value as given."""
     upcoming = F.lead("date").over(by_keys(keys).orderBy("date"))
     rows = daily.select(*keys, "date", F.col(value).cast("double").alias("_y")) \
                 .withColumn("_last", F.coalesce(F.date_sub(upcoming, 1), F.col("date")))
     days = rows.withColumn("ds", F.explode(F.sequence("date", "_last")))
     amount = F.when(F.col("ds") == F.col("date"), F.coalesce("_y", F.lit(0.0)))
-    return days.select(*keys, "ds", amount.otherwise(0.0).alias("y"))
+    given = F.col("ds") == F.col("date")
+    return days.select(*keys, "ds", amount.otherwise(0.0).alias("y"),
+                       given.alias("is_row"), F.when(given, F.col("_y")).alias("given"))
 
 
 def moving_average_forecast(daily: DataFrame, value: str, periods: int = 30,
@@ -70,11 +77,12 @@ def holt_winters(daily: DataFrame, value: str, horizon: int = 30, season: int =
     def fit(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _fit_holt_winters(y, season, horizon)
 
-    return _per_series(daily, value, keys, horizon, 2 * season, fit)
+    return _per_series(daily, value, keys, horizon, 2 * season, fit, "holt_winters")
 
 
-def _per_series(daily, value, keys, horizon, shortest, fit) -> DataFrame:
-    filled = fill_days(daily, value, keys)
+def _per_series(daily, value, keys, horizon, shortest, fit, fitted) -> DataFrame:
+    """One fit per series; ``method`` says which rule gave the rows."""
+    filled = _filled(daily, value, keys)
     key_list = list(keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -82,20 +90,22 @@ def _per_series(daily, value, keys, horizon, shortest, fit) -> DataFrame:
         y = pdf["y"].to_numpy(dtype=float)
         if len(y) >= shortest:
             yhat, residuals = fit(y)
-            width = INTERVAL * residuals.std()
-        else:
-            yhat = np.full(horizon, y[-30:].mean())
-            width = INTERVAL * y[-30:].std()
+            width, method = INTERVAL * residuals.std(), fitted
+        else:                     # as moving_average_forecast: rows, not filled days
+            recent = pdf.loc[pdf["is_row"], "given"].tail(30).dropna().to_numpy(dtype=float)
+            level = recent.mean() if len(recent) else np.nan
+            yhat, method = np.full(horizon, level), "moving_average"
+            width = INTERVAL * recent.std() if len(recent) else np.nan
         ds = pd.date_range(pd.Timestamp(pdf["ds"].iloc[-1]) + pd.Timedelta(days=1),
                            periods=horizon).date
         out = pd.DataFrame({"ds": ds, "yhat": yhat, "lower": yhat - width,
-                            "upper": yhat + width})
+                            "upper": yhat + width, "method": method})
         for k in key_list:
             out[k] = pdf[k].iloc[0]
-        return out[[*key_list, "ds", "yhat", "lower", "upper"]]
+        return out[[*key_list, "ds", "yhat", "lower", "upper", "method"]]
 
     fields = [f"{k} {filled.schema[k].dataType.simpleString()}" for k in keys]
-    schema = ", ".join([*fields, "ds date", "yhat double", "lower double", "upper double"])
+    schema = ", ".join([*fields, "ds date", "yhat double", "lower double", "upper double", "method string"])
     groups = spread(filled, *keys) if keys else filled
     return groups.groupBy(*keys).applyInPandas(run, schema)
 
@@ -187,26 +197,25 @@ def _fit_holt_winters(y: np.ndarray, season: int,
 def seasonal_forecast(daily: DataFrame, value: str, periods: int = 30,
                       keys: Sequence[str] = (), change_points: int = 10,
                       weekly_terms: int = 3, yearly_terms: int = 5,
-                      ridge: float = 1e-3) -> DataFrame:
+                      ridge: float = 1e-3, yearly_from: int = 731) -> DataFrame:
     """Trend with change points plus weekly and yearly waves, by least squares.
 
     The model shape follows Taylor and Letham (2018): a linear trend that may
     bend at ``change_points`` evenly spaced dates in the first 80 % of the
-    history, and sine / cosine pairs for the week and, from two years of history
-    on, for the year. Bends are held small by a ridge penalty. Series shorter
+    history, and sine / cosine pairs for the week and, for histories of at least
+    ``yearly_from`` days, for the year. Bends are held small by a ridge penalty. Series shorter
     than the number of terms get the flat moving average.
     """
     def fit(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _fit_regression(y, periods, change_points, weekly_terms, yearly_terms,
-                               ridge)
+        yearly = yearly_terms if len(y) >= yearly_from else 0
+        return _fit_regression(y, periods, change_points, weekly_terms, yearly, ridge)
 
     return _per_series(daily, value, keys, periods,
-                       2 + change_points + 2 * weekly_terms + 1, fit)
+                       2 + change_points + 2 * weekly_terms + 1, fit, "seasonal")
 
 
-def _fit_regression(y, periods, change_points, weekly_terms, yearly_terms, ridge):
+def _fit_regression(y, periods, change_points, weekly_terms, yearly, ridge):
     n = len(y)
-    yearly = yearly_terms if n >= 731 else 0
     bends = np.linspace(0, 0.8, change_points + 1)[1:]
 
     def design(day: np.ndarray) -> np.ndarray:

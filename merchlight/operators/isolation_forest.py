@@ -54,22 +54,21 @@ def isolation_forest(df: DataFrame, features: Sequence[str], id_cols: Sequence[s
 def _grow(rows: DataFrame, features, id_cols, total, trees, sample, seed) -> dict:
     """Sample, build one tree per group, and return the nodes as arrays.
 
-    The pool is the 16 * sample rows with the lowest hash. With many rows, a
-    hash filter that keeps about four pools goes first, so no task sorts more.
+    Every tree draws from all rows: a row stays in those trees for which a hash of
+    seed, tree and id is below four times the sample's share, and of these each tree
+    takes the ``sample`` lowest hashes. A tree sees fewer only if there are fewer rows.
     """
-    pool_size = 16 * sample
-    picked = F.xxhash64(F.lit(seed), *[F.col(c) for c in id_cols])
-    pool = rows.withColumn("_hash", picked)
-    if total > 4 * pool_size:
-        keep = int(HASH_RANGE * 4 * pool_size / total)
-        pool = pool.filter(F.pmod("_hash", F.lit(HASH_RANGE)) < keep)
+    keep = min(HASH_RANGE, HASH_RANGE * 4 * sample // total + 1)
     numbers = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)]
-    pool = pool.orderBy("_hash").limit(pool_size).select("_hash", *numbers)
-
-    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    draw = W.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", "_hash"))
+    row = F.xxhash64(F.lit(seed), *[F.col(c) for c in id_cols])
+    place = F.xxhash64("tree", "_row")
+    drawn = rows.select(*numbers, row.alias("_row")) \
+        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))) \
+        .withColumn("_hash", F.pmod(place, F.lit(HASH_RANGE))) \
+        .filter(F.col("_hash") < keep)
+    draw = W.partitionBy("tree").orderBy("_hash", "_row")
     drawn = drawn.withColumn("draw", F.row_number().over(draw)) \
-                 .filter(F.col("draw") <= sample).drop("_hash")
+                 .filter(F.col("draw") <= sample).drop("_hash", "_row")
 
     size = min(sample, total)
     height = max(1, math.ceil(math.log2(size)))

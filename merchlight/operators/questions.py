@@ -72,9 +72,10 @@ def answer_questions(questions: DataFrame, snapshot: DataFrame, forecast: DataFr
                F.concat(F.lit("Restock "), state["best"], F.lit(": stock covers ")))
          .otherwise(F.lit("Stock covers ")),
         fixed_text(state["days_of_supply"], 1), F.lit(" days"))
-    advice = F.concat(F.lit("Keep "), state["best"],
-                      F.lit(" in stock, discount slow movers by 10 percent and review "
-                            "supplier lead times"))
+    advice = F.concat(F.lit("Strongest categories: "), state["best"],
+                      F.lit("; change of sales in percent: "),
+                      fixed_text(state["change_pct"], 1),
+                      F.lit("; days of supply: "), fixed_text(state["days_of_supply"], 1))
     answer = F.when(intent == "drop", drop).when(intent == "forecast", outlook) \
               .when(intent == "inventory", stock).when(intent == "recommend", advice) \
               .otherwise("Ask about a sales drop, a forecast, inventory or "
@@ -95,25 +96,17 @@ def answer_questions(questions: DataFrame, snapshot: DataFrame, forecast: DataFr
 def build_prompts(questions: DataFrame, context: DataFrame, top: int = 3) -> DataFrame:
     """Prompt text per question from a one-row business context; no model is called.
 
-    An optional ``history`` column (the turn before) is placed ahead of the question.
+    The context goes first as JSON, then an optional ``history`` column, then the question.
     """
-    facts = context.select(F.struct(
-        fixed_text("total_revenue").alias("total"),
-        fixed_text("recent_revenue").alias("recent"),
-        fixed_text("revenue_change_pct", 1).alias("change"),
-        fixed_text("recent_share_pct", 0).alias("share"),
+    facts = context.select(F.to_json(F.struct(
+        fixed_text("total_revenue").alias("total_revenue"),
+        fixed_text("recent_revenue").alias("recent_revenue"),
+        fixed_text("recent_share_pct", 0).alias("recent_share_pct"),
+        fixed_text("revenue_change_pct", 1).alias("revenue_change_pct"),
         F.array_join(F.transform(F.slice("top_products", 1, top), lambda p: p["name"]),
-                     ", ").alias("names"))).scalar()
-    parts = [
-        F.lit("Act as a business analyst and use these figures."),
-        F.concat(F.lit("Revenue so far: "), facts["total"]),
-        F.concat(F.lit("Revenue of the last 30 days: "), facts["recent"],
-                 F.lit(" ("), facts["share"], F.lit(" percent of all)")),
-        F.concat(F.lit("Change against the 30 days before: "), facts["change"],
-                 F.lit(" percent")),
-        F.concat(F.lit("Best products: "), F.coalesce(facts["names"], F.lit("N/A"))),
-    ]
+                     ", ").alias("top_products")))).scalar()
+    parts = [facts]
     if "history" in questions.columns:
-        parts.append(F.concat(F.lit("Earlier turn: "), F.col("history")))
-    parts.append(F.concat(F.lit("Question: "), F.col("question")))
+        parts.append(F.col("history"))
+    parts.append(F.col("question"))
     return questions.withColumn("prompt", F.concat_ws("\n", *parts))

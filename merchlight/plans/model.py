@@ -20,15 +20,6 @@ CATEGORY_COLUMNS = [f"{c.lower()}_sales" for c in CATEGORIES]
 STOCK_EPOCH = "1995-01-01"
 REORDER_LEVEL = 10
 
-# The question each event type stands for.
-QUESTION_TEXTS = {
-    "view": "Why did sales drop last month?",
-    "click": "Please predict next month",
-    "signup": "How long will our inventory last?",
-    "purchase": "What do you recommend?",
-    "error": "Good day",
-}
-
 
 class SalesModel:
     """Reads ``<root>/<table>.parquet`` and derives the sales facts.
@@ -200,30 +191,22 @@ class SalesModel:
     # -- questions and events ----------------------------------------------------
 
     def questions(self, with_history: bool = False) -> DataFrame:
-        """Questions asked: one per event, worded by its type, and every user turn.
+        """Questions asked: every user turn of the conversations.
 
-        ``history`` is the turn before, found by an equi-join on conversation and
-        turn, so a long conversation is not gathered in one task; copies of a turn
-        count once on that side, so they do not pair up.
+        ``history`` holds the texts of the turn before, in order of the text, found by
+        an equi-join on conversation and turn, so a long conversation is not gathered
+        in one task; copies of a turn count once on that side, so they do not pair up.
         """
-        events = self.table("events")
-        wording = F.lit(None).cast("string")
-        for kind, text in QUESTION_TEXTS.items():
-            wording = F.when(F.col("event_type") == kind, text).otherwise(wording)
-        asked = events.select(
-            F.concat(F.lit("event-"), F.col("event_id")).alias("question_id"),
-            F.concat(F.coalesce(wording, F.lit("Good day")), F.lit(" (user "),
-                     F.col("user_id"), F.lit(")")).alias("question"))
         turns = self.table("conversations")
         said = turns.filter(F.col("role") == "user").select(
             "conv_id", "turn", F.concat_ws("-", F.lit("turn"), "conv_id", "turn")
             .alias("question_id"), F.col("text").alias("question"))
         if with_history:
-            before = turns.groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(
-                F.max("text").alias("history"))
+            before = turns.filter(F.col("text").isNotNull()) \
+                .groupBy("conv_id", (F.col("turn") + 1).alias("turn")) \
+                .agg(F.array_join(F.array_sort(F.collect_set("text")), " / ").alias("history"))
             said = said.join(before, ["conv_id", "turn"], "left")
-        said = said.drop("conv_id", "turn")
-        return asked.unionByName(said, allowMissingColumns=True)
+        return said.drop("conv_id", "turn")
 
     def event_stream(self) -> DataFrame:
         """The event files as a stream."""

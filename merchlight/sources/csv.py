@@ -15,11 +15,22 @@ DAILY_COLUMNS = {"date": "date", "total_sales": "double", "inventory_level": "in
                  "revenue": "double", "customers": "int"}
 
 
-def read_text_table(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, named by the header; files whose headers differ fail
-    rather than bind by position."""
-    return spark.read.option("header", True).option("enforceSchema", False) \
-                     .option("multiLine", False).csv(path)
+#: The raw text of a record that does not have the header's number of fields.
+RECORD = "_record"
+
+
+def read_text_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All columns as text, named by the header, and ``_record`` for malformed records.
+
+    Files whose headers differ fail rather than bind by position. Quoted line breaks
+    belong to their field; that makes a file one task, so for large files known to
+    have none pass ``multi_line=False``.
+    """
+    reader = spark.read.option("header", True).option("enforceSchema", False) \
+                       .option("multiLine", multi_line)
+    names = [c for c in reader.csv(path).columns if c != RECORD]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, RECORD]])
+    return reader.option("columnNameOfCorruptRecord", RECORD).schema(schema).csv(path)
 
 
 def typed(column: str, kind: str) -> Column:
@@ -29,6 +40,9 @@ def typed(column: str, kind: str) -> Column:
         return F.when(F.length(raw) <= 10, raw.try_cast("date")) \
                 .otherwise(raw.try_cast("timestamp_ntz").cast("date"))
     value = raw.try_cast(kind)
+    if kind in ("int", "bigint"):          # a whole number written as 2.0 counts
+        real = raw.try_cast("double")
+        value = F.coalesce(value, F.when(real == F.floor(real), real.try_cast(kind)))
     return F.when(~F.isnan(value), value) if kind in ("double", "float") else value
 
 
@@ -79,15 +93,25 @@ def split_rows(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def load_sales(spark: SparkSession, path: str, rules: Mapping[str, Column] | None = None
                ) -> tuple[DataFrame, DataFrame]:
-    """Sales CSV to typed rows; returns (good, rejects)."""
-    rows = coerce(read_text_table(spark, path), SALES_COLUMNS)
-    return split_rows(check_rows(rows, rules or sales_rules()))
+    """Sales CSV to typed rows; returns (good, rejects with their ``raw`` text)."""
+    return _load(spark, path, SALES_COLUMNS, rules or sales_rules())
 
 
 def load_inventory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Inventory CSV to typed rows; returns (good, rejects)."""
-    rows = coerce(read_text_table(spark, path), INVENTORY_COLUMNS)
-    return split_rows(check_rows(rows, inventory_rules()))
+    """Inventory CSV to typed rows; returns (good, rejects with their ``raw`` text)."""
+    return _load(spark, path, INVENTORY_COLUMNS, inventory_rules())
+
+
+def _load(spark, path, columns, rules) -> tuple[DataFrame, DataFrame]:
+    text = read_text_table(spark, path)
+    fields = F.struct(*[F.col(f"`{c}`") for c in text.columns if c != RECORD])
+    text = text.withColumns({"raw": F.coalesce(F.col(RECORD), F.to_json(fields)),
+                             "whole": F.col(RECORD).isNull()})
+    coerce(text, columns)                  # a missing column is an error
+    rows = text.select(*[typed(c, k).alias(c) for c, k in columns.items()], "raw", "whole")
+    checked = check_rows(rows, {"record_malformed": F.col("whole"), **rules}).drop("whole")
+    good, rejects = split_rows(checked)
+    return good.drop("raw"), rejects
 
 
 def unknown_products(sales: DataFrame, products: DataFrame,

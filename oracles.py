@@ -166,17 +166,11 @@ BLOCKS = {
         FROM wide_rank)""",
     "best": """SELECT *, row_number() OVER (ORDER BY sales DESC, category_order) AS rank
       FROM long WHERE date = (SELECT max(date) FROM long)""",
-    "asked": """SELECT 'event-' || event_id AS question_id, CAST(NULL AS VARCHAR) AS history,
-        CASE event_type WHEN 'view' THEN 'Why did sales drop last month?'
-          WHEN 'click' THEN 'Please predict next month'
-          WHEN 'signup' THEN 'How long will our inventory last?'
-          WHEN 'purchase' THEN 'What do you recommend?' ELSE 'Good day' END
-          || ' (user ' || user_id || ')' AS question
-      FROM events
-      UNION ALL
-      SELECT 'turn-' || a.conv_id || '-' || a.turn, b.text, a.text
-      FROM conversations a LEFT JOIN (SELECT conv_id, turn, max(text) AS text
-          FROM conversations GROUP BY conv_id, turn) b
+    "asked": """SELECT 'turn-' || a.conv_id || '-' || a.turn AS question_id,
+        b.text AS history, a.text AS question
+      FROM conversations a LEFT JOIN (
+          SELECT conv_id, turn, string_agg(DISTINCT text, ' / ' ORDER BY text) AS text
+          FROM conversations WHERE text IS NOT NULL GROUP BY conv_id, turn) b
         ON a.conv_id = b.conv_id AND a.turn = b.turn + 1
       WHERE a.role = 'user'""",
     "intent": """SELECT *, CASE
@@ -676,8 +670,9 @@ SELECT question_id, intent, CASE intent
   WHEN 'inventory' THEN CASE WHEN days_of_supply < 20
       THEN 'Restock ' || best || ': stock covers ' ELSE 'Stock covers ' END
       || CAST(days_of_supply AS DECIMAL(38,1)) || ' days'
-  WHEN 'recommend' THEN 'Keep ' || best
-      || ' in stock, discount slow movers by 10 percent and review supplier lead times'
+  WHEN 'recommend' THEN 'Strongest categories: ' || best
+      || '; change of sales in percent: ' || CAST(change_pct AS DECIMAL(38,1))
+      || '; days of supply: ' || CAST(days_of_supply AS DECIMAL(38,1))
   ELSE 'Ask about a sales drop, a forecast, inventory or recommendations' END AS answer,
   round(CASE intent WHEN 'drop' THEN change_pct WHEN 'forecast' THEN recent_mean
     WHEN 'inventory' THEN days_of_supply END, 4) AS measure, 0.85::DOUBLE AS confidence,
@@ -690,13 +685,13 @@ ORACLES["prompt_context"] = _with("asked total product_total", """
 , names AS (SELECT string_agg(product_name, ', ' ORDER BY revenue DESC, product_id) AS names
   FROM (SELECT * FROM product_total ORDER BY revenue DESC, product_id LIMIT 3))
 SELECT question_id, concat_ws(chr(10),
-  'Act as a business analyst and use these figures.',
-  'Revenue so far: ' || CAST(round(total, 2) AS DECIMAL(38,2)),
-  'Revenue of the last 30 days: ' || CAST(round(recent, 2) AS DECIMAL(38,2)) || ' ('
-    || CAST(recent::DOUBLE / total::DOUBLE * 100 AS DECIMAL(38,0)) || ' percent of all)',
-  'Change against the 30 days before: ' || CAST((recent::DOUBLE - previous::DOUBLE)
-    / previous::DOUBLE * 100 AS DECIMAL(38,1)) || ' percent',
-  'Best products: ' || names, 'Earlier turn: ' || history, 'Question: ' || question)
+  '{"total_revenue":"' || CAST(round(total, 2) AS DECIMAL(38,2))
+  || '","recent_revenue":"' || CAST(round(recent, 2) AS DECIMAL(38,2))
+  || '","recent_share_pct":"'
+  || CAST(recent::DOUBLE / total::DOUBLE * 100 AS DECIMAL(38,0))
+  || '","revenue_change_pct":"' || CAST((recent::DOUBLE - previous::DOUBLE)
+    / previous::DOUBLE * 100 AS DECIMAL(38,1))
+  || '","top_products":"' || names || '"}', history, question)
   AS prompt
 FROM asked, total, names""")
 

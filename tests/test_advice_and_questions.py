@@ -85,6 +85,6 @@ def test_prompts(spark):
                                   "question_id int, question string, history string")
     got = {r.question_id: r.prompt for r in questions.build_prompts(
         asked, kpi.business_context(sales, products)).collect()}
-    assert "Revenue so far: 12.50" in got[1] and "Best products: rod" in got[1]
-    assert "Earlier turn: Earlier" in got[1] and "Earlier turn" not in got[2]
-    assert got[2].endswith("Question: And?")
+    assert '"total_revenue":"12.50"' in got[1] and '"top_products":"rod"' in got[1]
+    assert "\nEarlier" in got[1] and "Earlier" not in got[2]
+    assert got[2].endswith("And?")

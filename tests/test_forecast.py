@@ -94,6 +94,17 @@ def test_short_series_fall_back_to_the_mean(series):
     assert [r.yhat for r in got] == [5] * 4
 
 
+def test_short_series_with_gaps_equal_the_moving_average(series):
+    gappy = series([10, None, 20, None, 30]).where("date IN ('2024-01-01', '2024-01-05')")
+    for method in (forecast.holt_winters, forecast.seasonal_forecast):
+        got = method(gappy, "total_sales", 4)
+        want = forecast.moving_average_forecast(gappy, "total_sales", 4)
+        assert {r["method"] for r in got.collect()} == {"moving_average"}
+        assert got.drop("method").orderBy("ds").collect() == want.orderBy("ds").collect()
+    rows = forecast.holt_winters(series(range(40)), "total_sales", 2).collect()
+    assert {r["method"] for r in rows} == {"holt_winters"}
+
+
 def test_constant_and_zero_series(series):
     for value in (0, 12):
         got = forecast.holt_winters(series([value] * 30), "total_sales", 3).collect()

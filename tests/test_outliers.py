@@ -59,10 +59,13 @@ def test_forest_on_nulls_and_few_rows(series):
 def test_forest_samples_from_many_rows(spark):
     df = spark.range(40_000).select("id", ((F.col("id") * 7919) % 1000).alias("x"))
     df = df.withColumn("x", F.when(F.col("id") == 123, 10 ** 6).otherwise(F.col("x")))
-    scored = isolation_forest(df, ["x"], ["id"], contamination=0.01, trees=30, sample=64)
+    scored = isolation_forest(df, ["x"], ["id"], contamination=0.1, trees=30, sample=64)
     assert scored.count() == 40_000
     flagged = scored.filter("is_anomaly")
-    assert flagged.filter("id = 123").count() == 1 and flagged.count() <= 400
+    assert flagged.filter("id = 123").count() == 1 and flagged.count() <= 4000
+    # trees that did not draw the extreme row see it like the largest one they drew
+    largest = scored.filter("x = 999").agg(F.max("score")).first()[0]
+    assert scored.filter("id = 123").first()["score"] >= largest - 0.01
 
 
 def test_tree_walk_by_brute_force():
@@ -109,3 +112,13 @@ def test_revenue_anomalies_label(spark):
     daily = spark.createDataFrame(rows, "date date, revenue double, orders int")
     got = {r.date: r.kind for r in anomaly.revenue_anomalies(daily).collect()}
     assert got[day(120)] == "spike" and got[day(121)] == "drop"
+
+
+def test_trees_draw_from_all_rows(spark, monkeypatch):
+    from merchlight.operators import isolation_forest as forest
+    seen = []
+    monkeypatch.setattr(forest, "spread", lambda df, *k: seen.append(df) or df)
+    rows = spark.range(50_000).withColumn("x", F.col("id").cast("double"))
+    forest._grow(rows, ["x"], ["id"], 50_000, 30, 256, 1)
+    counts = seen[0].agg(F.count("*"), F.count_distinct("x0")).first()
+    assert counts[0] == 30 * 256 and counts[1] > 6500

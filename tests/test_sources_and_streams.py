@@ -156,3 +156,19 @@ def test_stream_alerts_on_closed_days_in_any_zone(spark, tmp_path, zone):
         assert got == {(day(i), "a") for i in range(6)}
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_malformed_records_are_rejected_with_their_text(spark, tmp_path):
+    path = tmp_path / "sales.csv"
+    path.write_text('product_name,quantity,revenue,customer_id,region,date\n'
+                    'rod,2.0,5,c1,ASIA,2024-01-02\n'
+                    'bar,1,5,c1,ASIA,2024-01-02,extra\n'
+                    '"a\nb",3,5,c1,ASIA,2024-01-02\n'
+                    'nut,x7,5,c1,ASIA,2024-01-02\n'
+                    'pin,1,5\n')
+    good, rejects = csv.load_sales(spark, str(path))
+    assert sorted((r["product_name"], r["quantity"]) for r in good.collect()) == [
+        ("a\nb", 3), ("rod", 2)]
+    raw = {tuple(r["failed"]): r["raw"] for r in rejects.collect()}
+    assert raw[("record_malformed",)] == "bar,1,5,c1,ASIA,2024-01-02,extra"
+    assert "x7" in raw[("quantity_invalid",)] and len(raw) == 3
