@@ -193,3 +193,19 @@ def test_empty_tables(spark, no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0
     assert suffix_dedup.repeated_bytes(no_docs).count() == 0
     assert passages.remaining(no_docs, passages.repeated_passages(no_docs)).count() == 0
+
+
+def test_one_lookup_gives_the_spans_of_one_for_each_box(monkeypatch):
+    draw = np.random.default_rng(4)
+    for _ in range(30):
+        a = draw.permutation(400).astype(np.uint64)
+        b = np.concatenate((draw.integers(1000, 2000, 60), a[50:150], draw.integers(1000, 2000, 9),
+                            a[160:260], draw.integers(1000, 2000, 40))).astype(np.uint64)
+        b[draw.integers(0, len(b), 6)] = 5000
+        boxes = np.array([[lo, lo + 180, x, x + 200] for lo, x in
+                          zip(draw.integers(0, 200, 8), draw.integers(0, 100, 8))])
+        fast = passages.matching_spans(a, b, boxes, 46, 80, False)
+        # an equal pair of shingles at the end, outside all boxes, forbids the one lookup
+        slow = passages.matching_spans(np.append(a, [9999, 9999]).astype(np.uint64), b, boxes,
+                                       46, 80, False)
+        assert fast == slow
