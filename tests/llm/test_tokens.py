@@ -135,3 +135,14 @@ def test_id_files_of_odd_rows(spark, odd_docs, no_docs):
     empty = new_path(spark, "test-ids")
     id_files.write_ids(no_docs, empty, path("word_bpe_49k.json"))
     assert id_files.read_ids(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_plain_and_other_words_have_the_library_s_ids(name):
+    texts = ["Café!! ÉCOLE\nÁ x÷y Àß. ×× œuf", "don't it''s é a_b ab_ ab__ 12ab ab12.",
+             "a b a  b", "<|endoftext|> x<|endoftext|>", "New\nline's end. (so)", "", "...", "ZÜRICH\nZürich,"]
+    encode = Encoder(path(name))
+    whole = [encode.library.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):                          # new words, then known ones
+        ids, first = encode.encode([t.encode() for t in texts])
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == whole
