@@ -60,7 +60,8 @@ class Words:
         return np.diff(self.first)
 
 
-def words_of(texts: list[bytes], lower: bool) -> Words:
+def words_of(texts: list[bytes], lower: bool, hashed: bool = True) -> Words:
+    """The words of the texts; without ``hashed`` their places alone (``hash`` is empty)."""
     joined = b"\n".join([*texts, b""])
     raw = np.frombuffer(joined, np.uint8)
     offset = starts_of(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
@@ -70,6 +71,8 @@ def words_of(texts: list[bytes], lower: bool) -> Words:
     inside = ~SPACE[raw]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
     begin, end = edge[::2], edge[1::2]
+    if not hashed:
+        return Words(np.zeros(0, U64), begin, end, np.searchsorted(begin, offset), raw, offset)
     summed = np.zeros(raw.size + 1, U64)
     np.cumsum(BYTE_VALUES[LOWER[raw] if lower else raw] * powers(BASE, raw.size), out=summed[1:])
     hashed = (summed[end] - summed[begin]) * powers(BASE_INVERSE, raw.size)[begin]
