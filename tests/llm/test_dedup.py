@@ -209,3 +209,17 @@ def test_one_lookup_gives_the_spans_of_one_for_each_box(monkeypatch):
         slow = passages.matching_spans(np.append(a, [9999, 9999]).astype(np.uint64), b, boxes,
                                        46, 80, False)
         assert fast == slow
+
+
+def test_ranges_follow_the_order_of_values_and_documents():
+    rng = np.random.default_rng(3)
+    values, docs = rng.integers(-4, 5, 3000), rng.integers(-50, 50, 3000)
+    values[::3] = 1                                # a hot value
+    cuts = passages.bounds(values, docs, 30)
+    part = passages.ranges(values, docs, *cuts)
+    order = np.lexsort((docs, values))
+    assert (np.diff(part[order]) >= 0).all() and part.min() == 0 and part.max() == 29
+    assert np.bincount(part).max() < 300
+    assert len(set(zip(values, docs, part))) == len(set(zip(values, docs)))
+    few = passages.bounds(values[:5], docs[:5], 4)
+    assert few[0].tolist() == [-2**62, 0, 2**62]
