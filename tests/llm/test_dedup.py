@@ -195,6 +195,22 @@ def test_empty_tables(spark, no_docs):
     assert passages.remaining(no_docs, passages.repeated_passages(no_docs)).count() == 0
 
 
+def test_hot_passages_go_whatever_the_number_of_partitions(spark):
+    rows = [(k, prose(9, 10000 + k) + " " + (PASSAGE if k % 3 == 0 else prose(20, 20000 + k)) +
+             " " + prose(9, 30000 + k)) for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (2, 8, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spans = passages.repeated_passages(docs).collect()
+            seen.append(sorted((r["doc_id"], [tuple(x) for x in r["spans"]]) for r in spans))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2]
+    assert {i for i, _ in seen[2]} == set(range(3, 4000, 3))
+
+
 def test_one_lookup_gives_the_spans_of_one_for_each_box(monkeypatch):
     draw = np.random.default_rng(4)
     for _ in range(30):
