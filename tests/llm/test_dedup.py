@@ -227,6 +227,32 @@ def test_one_lookup_gives_the_spans_of_one_for_each_box(monkeypatch):
         assert fast == slow
 
 
+def longest_by_brute_force(a, b, least, percent):
+    """The longest span of b, of shared ends, that is similar enough to some span of a."""
+    met = np.zeros((len(a) + 1, len(b) + 1), int)
+    met[1:, 1:] = (a[:, None] == b[None, :]).cumsum(0).cumsum(1)
+    p, q = np.triu_indices(len(a))
+    for n in range(len(b), least - 1, -1):
+        for x in np.flatnonzero(np.isin(b[:len(b) - n + 1], a) & np.isin(b[n - 1:], a)):
+            shared = met[q + 1, x + n] - met[p, x + n] - met[q + 1, x] + met[p, x]
+            if (100 * shared >= percent * (q - p + 1 + n - shared)).any():
+                return n
+    return 0
+
+
+@pytest.mark.parametrize("inserted", range(1, 16))
+def test_spans_reach_over_insertions(inserted):
+    draw = np.random.default_rng(inserted)
+    a = draw.permutation(76).astype(np.uint64)                 # 80 words
+    new = draw.integers(1000, 10**9, 4 + inserted).astype(np.uint64)
+    b = np.concatenate((draw.integers(1000, 10**9, 30).astype(np.uint64), a[:36], new, a[40:],
+                        draw.integers(1000, 10**9, 30).astype(np.uint64)))
+    boxes = np.array([[0, len(a) - 1, 0, len(b) - 1]])
+    found = passages.matching_spans(a, b, boxes, 46, 80, False)
+    assert max((y - x + 1 for x, y in found), default=0) == longest_by_brute_force(a, b, 46, 80)
+    assert bool(found) == (inserted <= 10)
+
+
 def test_ranges_follow_the_order_of_values_and_documents():
     rng = np.random.default_rng(3)
     values, docs = rng.integers(-4, 5, 3000), rng.integers(-50, 50, 3000)
