@@ -62,6 +62,31 @@ def test_near_duplicates_of_chains_and_hubs(spark):
     assert got == {r[0]: r[2] for r in brute_components(rows, 5, 80)}
 
 
+def variants(n, place):
+    """An original at a place among n copies, each 82 % to it and 68 % to each other."""
+    base, rows = prose(200, 60).split(), []
+    for k in range(n):
+        own, draw = list(base), random.Random(k)
+        for at in (10, 60, 110, 160):
+            own[at + draw.randrange(30)] = f"v{k}x{at}"
+        rows.append(" ".join(own))
+    rows.insert(place, " ".join(base))
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("n, place, parts", [(40, 20, 4), (40, 40, 4), (1000, 500, 2),
+                                             (1000, 1000, 64)])
+def test_copies_of_an_original_that_is_not_the_first(spark, n, place, parts):
+    docs = spark.createDataFrame(variants(n, place), "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = [r["component_id"] for r in near_dedup.near_duplicates(docs).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert Counter(got) == {0: n + 1}
+
+
 def test_near_duplicates_equal_sql(spark, tables):
     name = "op1_minhash_near_dedup"
     df = driver.queries()[name](spark, tables)
