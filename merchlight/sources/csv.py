@@ -91,19 +91,20 @@ def split_rows(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
             checked.filter(F.size("failed") > 0))
 
 
-def load_sales(spark: SparkSession, path: str, rules: Mapping[str, Column] | None = None
-               ) -> tuple[DataFrame, DataFrame]:
+def load_sales(spark: SparkSession, path: str, rules: Mapping[str, Column] | None = None,
+               multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """Sales CSV to typed rows; returns (good, rejects with their ``raw`` text)."""
-    return _load(spark, path, SALES_COLUMNS, rules or sales_rules())
+    return _load(spark, path, SALES_COLUMNS, rules or sales_rules(), multi_line)
 
 
-def load_inventory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def load_inventory(spark: SparkSession, path: str,
+                   multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """Inventory CSV to typed rows; returns (good, rejects with their ``raw`` text)."""
-    return _load(spark, path, INVENTORY_COLUMNS, inventory_rules())
+    return _load(spark, path, INVENTORY_COLUMNS, inventory_rules(), multi_line)
 
 
-def _load(spark, path, columns, rules) -> tuple[DataFrame, DataFrame]:
-    text = read_text_table(spark, path)
+def _load(spark, path, columns, rules, multi_line=True) -> tuple[DataFrame, DataFrame]:
+    text = read_text_table(spark, path, multi_line)
     fields = F.struct(*[F.col(f"`{c}`") for c in text.columns if c != RECORD])
     text = text.withColumns({"raw": F.coalesce(F.col(RECORD), F.to_json(fields)),
                              "whole": F.col(RECORD).isNull()})

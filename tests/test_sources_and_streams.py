@@ -172,3 +172,23 @@ def test_malformed_records_are_rejected_with_their_text(spark, tmp_path):
     raw = {tuple(r["failed"]): r["raw"] for r in rejects.collect()}
     assert raw[("record_malformed",)] == "bar,1,5,c1,ASIA,2024-01-02,extra"
     assert "x7" in raw[("quantity_invalid",)] and len(raw) == 3
+
+
+def test_large_csv_files_are_split_without_quoted_line_breaks(spark, tmp_path):
+    sales, stock = tmp_path / "sales.csv", tmp_path / "stock.csv"
+    sales.write_text("product_name,quantity,revenue,customer_id,region,date\n" +
+                     "".join(f"p{i},1,2.5,c{i},north,2024-01-01\n" for i in range(2000)))
+    stock.write_text("product_name,quantity_on_hand\n" +
+                     "".join(f"p{i},{i}\n" for i in range(2000)))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "4096")
+        for load, path in ((csv.load_sales, sales), (csv.load_inventory, stock)):
+            good, rejects = load(spark, str(path), multi_line=False)
+            assert good.rdd.getNumPartitions() > 1
+            assert (good.count(), rejects.count()) == (2000, 0)
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
