@@ -8,8 +8,8 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from merchlight.llm import (
-    id_files, language, mixing, near_dedup, neighbours, packing, passages, quality, suffix_dedup,
-    token_counts)
+    id_files, language, merkle, mixing, near_dedup, neighbours, packing, passages, quality,
+    suffix_dedup, token_counts)
 from merchlight.llm.common import documents, new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,71 @@ def op6_range_coded_ids(spark, root):
     target = new_path(spark, "llm-ids")
     id_files.write_ids(documents(spark, root), target, path("word_bpe_49k.json"), end_id=2)
     return id_files.read_ids(spark, target)
+
+
+@query
+def op13_merkle_manifest(spark, root):
+    """Every third document (by checksum of its id) is found with its letters lower-cased."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0,
+                     F.translate("text", upper, upper.lower()))
+    return merkle.verify(merkle.manifest(documents(spark, root), altered))
+
+
+def _merkle_sql(depth: int = 8, top_depth: int = 4) -> str:
+    """Trees of up to 8^depth documents a language and 8^top_depth languages."""
+    def field(name):
+        return (f"CASE WHEN {name} IS NULL THEN '-' ELSE "
+                f"strlen({name}::VARCHAR) || ':' || {name}::VARCHAR END")
+
+    def leaf(text):
+        return "sha256(" + " || ".join(
+            [*map(field, ("doc_id", "source", "lang", "n_chars")), field(text)]) + ")"
+
+    crc = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+      range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+    parts = [f"""found AS MATERIALIZED (SELECT *, CASE WHEN {crc} % 3 = 0 THEN translate(text,
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS now FROM documents)""",
+             f"""leaves AS MATERIALIZED (SELECT doc_id, t, h, now, i, row_number() OVER () AS id FROM (
+  SELECT doc_id, t, h, now, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, h) - 1 AS i
+  FROM (SELECT doc_id, coalesce('=' || lang, '') AS t, {leaf('text')} AS h, {leaf('now')} AS now
+  FROM found)))""",
+             "a0 AS MATERIALIZED (SELECT t, i, h, count(*) OVER (PARTITION BY t) AS n FROM leaves)"]
+
+    def tree(p, levels):
+        for k in range(levels):
+            parts.append(f"""{p}r{k} AS MATERIALIZED (SELECT t, i // 8 AS r, list(h ORDER BY i) AS hs,
+  any_value((n + 7) // 8) AS n FROM {p}{k} WHERE n > 1 GROUP BY t, i // 8)""")
+            parts.append(f"""{p}{k + 1} AS MATERIALIZED (SELECT t, r AS i,
+  sha256(array_to_string(hs, '')) AS h, n FROM {p}r{k})""")
+        ends = " UNION ALL ".join(f"SELECT t, h FROM {p}{k} WHERE n = 1" for k in range(levels + 1))
+        parts.append(f"{p}_roots AS MATERIALIZED ({ends})")
+
+    def climb(p, runs, levels):
+        for k in range(levels):
+            left = "array_to_string(hs[1:(i % 8)], '')"
+            right = "array_to_string(hs[(i % 8) + 2:], '')"
+            parts.append(f"""{p}{k + 1} AS MATERIALIZED (SELECT id, d.t, i // 8 AS i,
+  CASE WHEN hs IS NULL THEN now ELSE sha256({left} || now || {right}) END AS now,
+  CASE WHEN hs IS NULL THEN proof ELSE proof || {left} || {right} END AS proof
+  FROM {p}{k} d LEFT JOIN {runs}r{k} x ON d.t = x.t AND d.i // 8 = x.r)""")
+
+    tree("a", depth)
+    parts.append("""names AS MATERIALIZED (SELECT t AS name, h, row_number() OVER (ORDER BY t) - 1 AS i
+  FROM a_roots)""")
+    parts.append("b0 AS MATERIALIZED (SELECT '' AS t, i, h, count(*) OVER () AS n FROM names)")
+    tree("b", top_depth)
+    parts.append("p0 AS MATERIALIZED (SELECT id, t, i, now, '' AS proof FROM leaves)")
+    climb("p", "a", depth)
+    parts.append(f"""q0 AS MATERIALIZED (SELECT id, '' AS t, names.i, now, proof
+  FROM p{depth} JOIN names ON p{depth}.t = names.name)""")
+    climb("q", "b", top_depth)
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaves.h AS leaf, a_roots.h AS subroot, b_roots.h AS root,
+  sha256(proof) AS proof_sha256, q.now AS folded_root, q.now = b_roots.h AS verified
+FROM leaves JOIN q{top_depth} q USING (id) JOIN a_roots ON leaves.t = a_roots.t CROSS JOIN b_roots"""
+
+
+ORACLES["op13_merkle_manifest"] = _merkle_sql()
