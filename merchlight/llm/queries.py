@@ -8,8 +8,8 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from merchlight.llm import (
-    curve_packing, id_files, language, merkle, mixing, near_dedup, neighbours, packing, passages,
-    quality, suffix_dedup, token_counts)
+    alignment, curve_packing, id_files, language, merkle, mixing, near_dedup, neighbours, packing,
+    passages, quality, suffix_dedup, token_counts)
 from merchlight.llm.common import documents, new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,6 +154,12 @@ def op11_hilbert_packing(spark, root):
     return curve_packing.pack_neighbours(documents(spark, root), path("byte_bpe_50k.json"))
 
 
+@query
+def op12_identity_map_alignment(spark, root):
+    return alignment.align(documents(spark, root), path("byte_bpe_50k.json"),
+                           path("piece_bpe_32k.model"))
+
+
 @query
 def op13_merkle_manifest(spark, root):
     """Every third document (by checksum of its id) is found with its letters lower-cased."""
