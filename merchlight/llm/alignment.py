@@ -24,13 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from merchlight.llm.common import discard, keyed_text, put, ragged, slices, starts_of, utf8
+from merchlight.llm.common import SLICE_BYTES, discard, keyed_text, put, ragged, slices, starts_of, utf8
 from merchlight.llm.tokens import CODES, LINE_WORDS
 from merchlight.llm.words import SPACE, U64, mix, words_of
 
 MARK = "▁"
 #: Distinct words a worker keeps before it starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 700_000
+#: Documents whose ids a task holds as arrays at one time.
+STEP = 500
 #: Most frequent pairs that every worker gets; their number never exceeds this.
 KNOWN_PAIRS = 1 << 16
 #: White space beyond TAB to CR and space, and the space mark.
@@ -80,7 +82,7 @@ def pair_counts(found: DataFrame, tokenizer_a: str, model_b: str) -> DataFrame:
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(tokenizer_a, model_b)
         vector = np.zeros(len(both.same), np.int64)
-        for batch in batches:
+        for batch in _steps(batches):
             ids, _ = _ids_of(batch.column(0), both.words)
             vector += np.bincount(ids, minlength=len(vector))
             pairs, at = np.unique(np.asarray(batch.column(1).flatten()), return_inverse=True)
@@ -125,7 +127,7 @@ def _looked_up(found: DataFrame, known: pa.Table, tokenizer_a: str, model_b: str
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(tokenizer_a, model_b)
         counts, bests = both.vectors(keys, count, best)
-        for batch in batches:
+        for batch in _steps(batches):
             ids, first = _ids_of(batch.column("exact"), both.words)
             pairs, times = (np.asarray(batch.column(c).flatten()) for c in ("pairs", "times"))
             lists = starts_of(np.asarray(batch.column("pairs").value_lengths()))
@@ -151,6 +153,12 @@ def _looked_up(found: DataFrame, known: pa.Table, tokenizer_a: str, model_b: str
 KEPT = ["_row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, STEP):
+            yield batch.slice(at, STEP)
+
+
 def _ids_of(column: pa.Array, words: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a binary column, and where each row's begin."""
     raw = column.to_pylist()
@@ -175,7 +183,7 @@ def _aligned(docs: DataFrame, tokenizer_a: str, model_b: str) -> DataFrame:
         both = aligner(tokenizer_a, model_b)
         for batch in batches:
             texts = utf8(batch.column(1))
-            for lo, hi in slices(texts, 2 << 20):
+            for lo, hi in slices(texts, SLICE_BYTES // 2):
                 yield pa.record_batch(
                     [batch.column(2).slice(lo, hi - lo), batch.column(0).slice(lo, hi - lo),
                      *both.align(texts[lo:hi])], names=[c.split()[0] for c in DOCS.split(", ")])
@@ -250,7 +258,7 @@ class Aligner:
 
     def _forget(self) -> None:
         self.keys, self.slots = np.zeros(0, U64), np.zeros(0, np.int64)
-        self.counts = np.zeros((0, 4), np.int64)        # tokens of A, of B, groups, links
+        self.counts = np.zeros((0, 4), np.int32)        # tokens of A, of B, groups, links
         self.bad = np.zeros(0, bool)
         self.exact, self.pairs, self.shown = Ragged(self.words), Ragged(np.int64), Ragged(np.uint8)
 
@@ -345,7 +353,7 @@ class Aligner:
                                        np.cumsum(sizes))
         place = np.zeros(len(units), np.int64)
         place[order] = np.arange(len(order))
-        counts = np.zeros((len(units), 4), np.int64)
+        counts = np.zeros((len(units), 4), np.int32)
         counts[order] = numbers
         self.counts, self.bad = np.concatenate((self.counts, counts)), np.append(self.bad, bad)
         for into, (flat, size) in zip((self.exact, self.pairs, self.shown), parts):
