@@ -19,7 +19,7 @@ from merchlight.operators.isolation_forest import (
 from merchlight.plans.model import CATEGORIES, SalesModel
 from merchlight.session import new_path, stage
 from merchlight.sources import csv, sinks
-from merchlight.streaming import alerts
+from merchlight.streaming import alerts, stock
 
 QUERIES: dict[str, Callable[[SalesModel], DataFrame]] = {}
 
@@ -560,11 +560,20 @@ def prompt_context(m):
 
 @query
 def stream_daily_totals(m):
-    """All event files as one stream; the complete result after the last batch."""
+    """All event files as one stream, every day's totals replaced as they change."""
     totals = alerts.daily_totals(m.event_stream(), "ts", "value", ["event_type"])
-    running, out = alerts.start_complete(totals, "daily-totals")
+    running, table = alerts.start_update(totals, ["event_type"], "daily-totals")
     running.awaitTermination()
-    return alerts.newest_batch(m.spark, out).withColumn("total", money("total"))
+    return table.read().drop("month").withColumn("total", money("total"))
+
+
+@query
+def stream_stock_days(m):
+    """Every product's days with stock, demand and alerts, kept by the stream of movements."""
+    running, table = stock.keep_stock(stock.stock_days(m.movement_stream()))
+    running.awaitTermination()
+    return table.read().drop("month").withColumns(
+        rounded(6, "mean_demand", "days_of_supply", "change_pct"))
 
 
 @query
@@ -573,8 +582,8 @@ def stream_daily_alerts(m):
     per_day = m.table("events").groupBy(
         "event_type", F.col("ts").cast("date").alias("date")).agg(
             F.sum(F.col("value").cast("decimal(18,4)")).alias("total"))
-    baseline = per_day.groupBy("event_type").agg(
-        (F.sum("total").cast("double") / F.count("*")).alias("expected"))
+    baseline = stage(per_day.groupBy("event_type").agg(        # read by every batch
+        (F.sum("total").cast("double") / F.count("*")).alias("expected")), "expected")
     low = alerts.daily_alerts(m.event_stream(), baseline, "ts", "value", ["event_type"],
                               threshold=-10.0)
     running, out = alerts.start_append(low, "daily-alerts")

@@ -710,3 +710,44 @@ SELECT event_type, date, n_rows, CAST(round(total, 2) AS DOUBLE) AS total,
 FROM event_day e JOIN base USING (event_type)
 WHERE (e.total::DOUBLE - expected) / expected * 100 < -10
   AND date + 1 <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+
+# Stock counts set the stock at the end of their day; other days move it on. A day is
+# closed once the newest movement is a day past its end; the stream reports only a change for the worse.
+ORACLES["stream_stock_days"] = """
+WITH move AS (SELECT l_partkey AS product_id, l_shipdate AS ts, l_orderkey AS line,
+    CASE WHEN l_linenumber = 1 THEN 'count' WHEN l_returnflag = 'R' THEN 'receipt'
+      ELSE 'sale' END AS kind,
+    CASE WHEN l_linenumber = 1 THEN 10 + (l_orderkey * 37 + 1) % 190
+      ELSE CAST(l_quantity AS BIGINT) END AS quantity FROM lineitem),
+day AS (SELECT product_id, CAST(ts AS DATE) AS date, count(*) AS n_rows,
+    CAST(sum(CASE WHEN kind = 'sale' THEN quantity ELSE 0 END) AS BIGINT) AS units,
+    CAST(sum(CASE kind WHEN 'sale' THEN -quantity WHEN 'receipt' THEN quantity ELSE 0 END)
+      AS BIGINT) AS net,
+    max(CASE WHEN kind = 'count' THEN {'ts': ts, 'line': line, 'q': quantity} END).q AS counted
+  FROM move GROUP BY 1, 2),
+marked AS (SELECT *, count(counted) OVER w AS g,
+    sum(units) OVER (PARTITION BY product_id ORDER BY date
+      RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW) / 30.0::DOUBLE AS recent,
+    coalesce(sum(units) OVER (PARTITION BY product_id ORDER BY date
+      RANGE BETWEEN INTERVAL 59 DAY PRECEDING AND INTERVAL 30 DAY PRECEDING), 0) / 30.0::DOUBLE AS before,
+    date + INTERVAL 2 DAY <= (SELECT max(ts) FROM move) AS closed
+  FROM day WINDOW w AS (PARTITION BY product_id ORDER BY date)),
+stocked AS (SELECT *, CASE WHEN g > 0 THEN max(counted) OVER (PARTITION BY product_id, g)
+    + sum(CASE WHEN counted IS NULL THEN net ELSE 0 END) OVER (
+      PARTITION BY product_id, g ORDER BY date) END AS stock FROM marked),
+judged AS (SELECT *, CASE WHEN stock IS NULL THEN NULL WHEN recent > 0
+    THEN greatest(stock, 0) / recent ELSE 999.0 END AS supply,
+    CASE WHEN before > 0 THEN (recent - before) / before * 100 END AS change FROM stocked),
+ranked AS (SELECT *, CASE WHEN supply < 15 THEN 2 WHEN supply < 20 THEN 1 ELSE 0 END AS r,
+    coalesce(change < -15, FALSE) AS falls FROM judged),
+told AS (SELECT *, r > lag(r, 1, 0) OVER w AS worse, falls AND NOT lag(falls, 1, FALSE) OVER w AS drops
+  FROM ranked WINDOW w AS (PARTITION BY product_id ORDER BY date))
+SELECT product_id, date, closed, n_rows, units,
+  CASE WHEN closed THEN CAST(stock AS BIGINT) END AS stock,
+  CASE WHEN closed THEN round(recent, 6) END AS mean_demand,
+  CASE WHEN closed THEN round(supply, 6) END AS days_of_supply,
+  CASE WHEN closed AND supply IS NOT NULL THEN ['healthy', 'low', 'critical'][r + 1] END AS status,
+  CASE WHEN closed THEN round(change, 6) END AS change_pct,
+  CASE WHEN closed AND worse THEN ['healthy', 'low', 'critical'][r + 1] END AS stock_alert,
+  CASE WHEN closed THEN drops END AS drop_alert, 0::BIGINT AS late_rows
+FROM told"""
