@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +31,7 @@ from merchlight.llm.words import SPACE, U64, mix, words_of
 
 MARK = "▁"
 #: Distinct words a worker keeps before it starts anew.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 250_000
 #: Documents whose ids a task holds as arrays at one time.
 STEP = 500
 #: Most frequent pairs that every worker gets; their number never exceeds this.
@@ -183,7 +184,7 @@ def _aligned(docs: DataFrame, tokenizer_a: str, model_b: str) -> DataFrame:
         both = aligner(tokenizer_a, model_b)
         for batch in batches:
             texts = utf8(batch.column(1))
-            for lo, hi in slices(texts, SLICE_BYTES // 2):
+            for lo, hi in slices(texts, SLICE_BYTES // 4):
                 yield pa.record_batch(
                     [batch.column(2).slice(lo, hi - lo), batch.column(0).slice(lo, hi - lo),
                      *both.align(texts[lo:hi])], names=[c.split()[0] for c in DOCS.split(", ")])
@@ -227,6 +228,7 @@ class Aligner:
         from tokenizers import Tokenizer
         self.a, self.b = Tokenizer.from_file(tokenizer_a), SentencePieceProcessor(
             model_file=model_b)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")    # a task has one core
         self.a.encode_special_tokens = True     # their strings are plain text here
         with open(tokenizer_a, encoding="utf-8") as file:
             if json.load(file)["pre_tokenizer"]["type"] != "ByteLevel":
