@@ -59,6 +59,48 @@ def validate_sales(m):
         money(F.sum(F.col("revenue").cast("decimal(18,4)"))).alias("revenue"))
 
 
+@query
+def loaded_sales(m):
+    """The fact written as CSV files of two layouts and read back: rows and rejects.
+
+    By fixed rules some product names hold quotes, commas and line breaks, some
+    quantities are no numbers, and some records lack a field or have one too many.
+    """
+    n = F.col("order_id") * 7 + F.col("product_id")
+    broken = F.concat(F.lit('"'), "product_name", F.lit(' ""new\nline"", '),
+                      (n % 5).cast("string"), F.lit('"'))
+    value = {**{c: F.col(c).cast("string") for c in csv.SALES_COLUMNS},
+             "product_name": F.when(n % 11 == 0, broken).otherwise(F.col("product_name")),
+             "quantity": F.concat(F.when(n % 13 == 0, "x").otherwise(""),
+                                  F.col("quantity").cast("string"))}
+    layouts = [list(csv.SALES_COLUMNS),
+               ["date", "region", "customer_id", "product_name", "revenue", "quantity"]]
+    folder, fact = new_path(m.spark, "sales-csv"), m.sales_fact()
+    for k, names in enumerate(layouts):
+        record = F.when(n % 17 == 0, F.concat_ws(",", *[value[c] for c in names[:-1]])) \
+            .otherwise(F.concat(F.concat_ws(",", *[value[c] for c in names]),
+                                F.when(n % 19 == 0, ",extra").otherwise("")))
+        sinks.write_records(fact.where(F.col("order_id") % 2 == k).select(record),
+                            f"{folder}/layout={k}", ",".join(names))
+    good, rejects = csv.load_sales(m.spark, f"{folder}/*")
+    return good.withColumns({"failed": F.lit(""), "raw": F.lit(None).cast("string")}).unionByName(
+        rejects.withColumn("failed", F.array_join("failed", ",")))
+
+
+@query
+def loaded_stock(m):
+    """The stock counts written as CSV, some without a quantity, and read as positions."""
+    counts = m.stock_snapshots().join(m.products(), "product_id")
+    quantity = F.when(F.col("quantity_on_hand") % 23 == 0, "?").otherwise(
+        F.col("quantity_on_hand").cast("string"))
+    folder = new_path(m.spark, "stock-csv")
+    sinks.write_records(counts.select(F.concat_ws(
+        ",", F.col("last_updated").cast("string"), quantity, "product_name")), folder,
+        "last_updated,quantity_on_hand,product_name")
+    good, _ = csv.load_inventory(m.spark, folder, dated=True)
+    return csv.stock_counts(good, m.products())
+
+
 @query
 def latest_inventory(m):
     return inventory.latest_inventory(m.stock_snapshots())

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from merchlight.sources import records
+
 # The CSV layouts (column name to Spark type).
 SALES_COLUMNS = {"product_name": "string", "quantity": "int", "revenue": "double",
                  "customer_id": "string", "region": "string", "date": "date"}
@@ -19,15 +21,26 @@ DAILY_COLUMNS = {"date": "date", "total_sales": "double", "inventory_level": "in
 RECORD = "_record"
 
 
+#: The text of a record as it stands in its file.
+RAW = "_raw"
+
+
 def read_text_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """All columns as text, named by the header, and ``_record`` for malformed records.
 
-    Files whose headers differ fail rather than bind by position. Quoted line breaks
-    belong to their field; that makes a file one task, so for large files known to
-    have none pass ``multi_line=False``.
+    Quoted line breaks belong to their field, and files may differ in the order of
+    their columns: a column is the one of that name in each file's own header, null
+    where the file has none. Large files are read by many tasks. ``_raw`` is the
+    record's text. ``multi_line=False`` leaves the parsing to Spark's reader, for files
+    without quoted line breaks and with one header; it gives no ``_raw``.
     """
-    reader = spark.read.option("header", True).option("enforceSchema", False) \
-                       .option("multiLine", multi_line)
+    if multi_line:
+        found, headers = records.read_records(spark, path)
+        names = dict.fromkeys(n for header in headers for n in header)
+        return found.select(*[records.named(headers, n).alias(n) for n in names],
+                            F.when(~F.col("whole"), F.col("raw")).alias(RECORD),
+                            F.col("raw").alias(RAW))
+    reader = spark.read.option("header", True).option("enforceSchema", False)
     names = [c for c in reader.csv(path).columns if c != RECORD]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, RECORD]])
     return reader.option("columnNameOfCorruptRecord", RECORD).schema(schema).csv(path)
@@ -54,9 +67,9 @@ def coerce(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     return df.select(*[typed(c, k).alias(c) for c, k in columns.items()])
 
 
-def read_daily_metrics(spark: SparkSession, path: str) -> DataFrame:
+def read_daily_metrics(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Wide daily table: the fixed columns plus every category column, by date."""
-    raw = read_text_table(spark, path)
+    raw = read_text_table(spark, path, multi_line)
     extra = {c: "double" for c in raw.columns if "sales" in c and c not in DAILY_COLUMNS}
     return coerce(raw, {**DAILY_COLUMNS, **extra}).orderBy("date")
 
@@ -97,22 +110,32 @@ def load_sales(spark: SparkSession, path: str, rules: Mapping[str, Column] | Non
     return _load(spark, path, SALES_COLUMNS, rules or sales_rules(), multi_line)
 
 
-def load_inventory(spark: SparkSession, path: str,
-                   multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Inventory CSV to typed rows; returns (good, rejects with their ``raw`` text)."""
-    return _load(spark, path, INVENTORY_COLUMNS, inventory_rules(), multi_line)
+def load_inventory(spark: SparkSession, path: str, multi_line: bool = True,
+                   dated: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Inventory CSV to typed rows; returns (good, rejects with their ``raw`` text).
 
+    ``dated``: the files also say when a count was ``last_updated``.
+    """
+    columns, rules = INVENTORY_COLUMNS, inventory_rules()
+    if dated:
+        columns = {**columns, "last_updated": "date"}
+        rules["date_invalid"] = F.col("last_updated").isNotNull()
+    return _load(spark, path, columns, rules, multi_line)
 
-def _load(spark, path, columns, rules, multi_line=True) -> tuple[DataFrame, DataFrame]:
-    text = read_text_table(spark, path, multi_line)
-    fields = F.struct(*[F.col(f"`{c}`") for c in text.columns if c != RECORD])
-    text = text.withColumns({"raw": F.coalesce(F.col(RECORD), F.to_json(fields)),
-                             "whole": F.col(RECORD).isNull()})
-    coerce(text, columns)                  # a missing column is an error
-    rows = text.select(*[typed(c, k).alias(c) for c, k in columns.items()], "raw", "whole")
-    checked = check_rows(rows, {"record_malformed": F.col("whole"), **rules}).drop("whole")
-    good, rejects = split_rows(checked)
-    return good.drop("raw"), rejects
+
+def stock_counts(loaded: DataFrame, products: DataFrame, taken_on=None) -> DataFrame:
+    """The newest count of every product: ``product_id, quantity_on_hand, last_updated``.
+
+    What ``latest_inventory`` and ``stock_position`` read. ``taken_on`` is the day of a
+    file without dates; of several counts on a day the highest stands. Counts are
+    reduced by name before they meet the products; a name that several products share
+    counts for each, and names of no product are found by ``unknown_products``.
+    """
+    day = F.col("last_updated") if taken_on is None else F.lit(str(taken_on)).cast("date")
+    newest = loaded.groupBy("product_name").agg(
+        F.max(F.struct(day.alias("last_updated"), "quantity_on_hand")).alias("s"))
+    return newest.join(products.select("product_id", "product_name"), "product_name").select(
+        "product_id", "s.quantity_on_hand", "s.last_updated")
 
 
 def unknown_products(sales: DataFrame, products: DataFrame,

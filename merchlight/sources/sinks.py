@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -28,3 +29,16 @@ def write_table(df: DataFrame, path: str, format: str = "parquet",
 def with_month(df: DataFrame, date: str = "date") -> DataFrame:
     """Month as text, the usual partition column of the fact."""
     return df.withColumn("month", F.date_format(date, "yyyy-MM"))
+
+
+def write_records(records: DataFrame, path: str, header: str, mode: str = "errorifexists") -> None:
+    """Write a text column as it is, one record after the other, under a header in each file.
+
+    For CSV whose records are formed elsewhere; a record may hold line breaks.
+    """
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch([pa.array([header])], names=["value"])
+        for batch in batches:
+            yield pa.record_batch([batch.column(0)], names=["value"])
+
+    records.mapInArrow(headed, "value string").write.mode(mode).text(path)

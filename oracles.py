@@ -291,6 +291,39 @@ SELECT concat_ws(',', CASE WHEN quantity > 45 THEN 'quantity_above_limit' END,
   count(*) AS n_rows, CAST(round(sum(revenue), 2) AS DOUBLE) AS revenue
 FROM sale JOIN buyer USING (customer_id) JOIN item USING (product_id) GROUP BY 1""")
 
+ORACLES["loaded_sales"] = _with("sale buyer item", """
+, fact AS (SELECT *, order_id * 7 + product_id AS n, order_id % 2 AS k
+  FROM sale JOIN buyer USING (customer_id) JOIN item USING (product_id)),
+texts AS (SELECT *, CASE WHEN n % 11 = 0 THEN '"' || product_name || ' ""new' || chr(10)
+      || 'line"", ' || (n % 5) || '"' ELSE product_name END AS p,
+    CASE WHEN n % 13 = 0 THEN 'x' ELSE '' END || quantity AS q, revenue::VARCHAR AS r,
+    customer_id::VARCHAR AS c, date::VARCHAR AS d FROM fact),
+written AS (SELECT *, CASE
+    WHEN n % 17 = 0 AND k = 0 THEN concat_ws(',', p, q, r, c, region)
+    WHEN n % 17 = 0 THEN concat_ws(',', d, region, c, p, r)
+    WHEN k = 0 THEN concat_ws(',', p, q, r, c, region, d)
+    ELSE concat_ws(',', d, region, c, p, r, q) END
+      || CASE WHEN n % 19 = 0 AND n % 17 <> 0 THEN ',extra' ELSE '' END AS raw,
+    CASE WHEN n % 13 <> 0 AND NOT (n % 17 = 0 AND k = 1) THEN quantity END AS amount,
+    CASE WHEN NOT (n % 17 = 0 AND k = 0) THEN date END AS day FROM texts),
+checked AS (SELECT *, concat_ws(',',
+    CASE WHEN n % 17 = 0 OR n % 19 = 0 THEN 'record_malformed' END,
+    CASE WHEN amount IS NULL THEN 'quantity_invalid' END,
+    CASE WHEN day IS NULL THEN 'date_invalid' END) AS failed FROM written)
+SELECT CASE WHEN n % 11 = 0 THEN product_name || ' "new' || chr(10) || 'line", ' || (n % 5)
+    ELSE product_name END AS product_name, CAST(amount AS INTEGER) AS quantity,
+  revenue::DOUBLE AS revenue, customer_id::VARCHAR AS customer_id, region, day AS date, failed,
+  CASE WHEN failed <> '' THEN raw END AS raw
+FROM checked""")
+
+ORACLES["loaded_stock"] = """
+WITH counts AS (SELECT p_name AS name,
+    CAST(10 + (l_orderkey * 37 + l_linenumber) % 190 AS INTEGER) AS q, CAST(l_shipdate AS DATE) AS d
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+newest AS (SELECT name, max({'d': d, 'q': q}) AS s FROM counts WHERE q % 23 <> 0 GROUP BY name)
+SELECT p_partkey AS product_id, s.q AS quantity_on_hand, s.d AS last_updated
+FROM part JOIN newest ON p_name = name"""
+
 ORACLES["latest_inventory"] = _with("stock", """
 SELECT product_id, CAST(quantity_on_hand AS INTEGER) AS quantity_on_hand, last_updated
 FROM stock""")
