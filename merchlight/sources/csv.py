@@ -138,6 +138,18 @@ def stock_counts(loaded: DataFrame, products: DataFrame, taken_on=None) -> DataF
         "product_id", "s.quantity_on_hand", "s.last_updated")
 
 
+def _load(spark, path, columns, rules, multi_line=True) -> tuple[DataFrame, DataFrame]:
+    text = read_text_table(spark, path, multi_line)
+    fields = F.struct(*[F.col(f"`{c}`") for c in text.columns if c not in (RECORD, RAW)])
+    raw = F.col(RAW) if RAW in text.columns else F.coalesce(F.col(RECORD), F.to_json(fields))
+    text = text.withColumns({"raw": raw, "whole": F.col(RECORD).isNull()})
+    coerce(text, columns)                  # a missing column is an error
+    rows = text.select(*[typed(c, k).alias(c) for c, k in columns.items()], "raw", "whole")
+    checked = check_rows(rows, {"record_malformed": F.col("whole"), **rules}).drop("whole")
+    good, rejects = split_rows(checked)
+    return good.drop("raw"), rejects
+
+
 def unknown_products(sales: DataFrame, products: DataFrame,
                      on: str = "product_name") -> DataFrame:
     """Sale rows whose product is not in the product table."""
