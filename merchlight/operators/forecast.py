@@ -6,13 +6,15 @@ of one series, and series run side by side.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from merchlight.functions.measures import by_keys, mean_of, resolve_as_of
+from merchlight.operators import many_series
 from merchlight.operators.trend import trailing_rows, with_age
 from merchlight.session import spread
 
@@ -26,19 +28,12 @@ def fill_days(daily: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFra
     Each row spreads itself up to the day before the next one: no second scan
     and no join with a calendar.
     """
-    return _filled(daily, value, keys).select(*keys, "ds", "y")
-
-
-def _filled(daily: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """``fill_days`` with whether a day is a given row, and its value as given."""
     upcoming = F.lead("date").over(by_keys(keys).orderBy("date"))
     rows = daily.select(*keys, "date", F.col(value).cast("double").alias("_y")) \
                 .withColumn("_last", F.coalesce(F.date_sub(upcoming, 1), F.col("date")))
     days = rows.withColumn("ds", F.explode(F.sequence("date", "_last")))
     amount = F.when(F.col("ds") == F.col("date"), F.coalesce("_y", F.lit(0.0)))
-    given = F.col("ds") == F.col("date")
-    return days.select(*keys, "ds", amount.otherwise(0.0).alias("y"),
-                       given.alias("is_row"), F.when(given, F.col("_y")).alias("given"))
+    return days.select(*keys, "ds", amount.otherwise(0.0).alias("y"))
 
 
 def moving_average_forecast(daily: DataFrame, value: str, periods: int = 30,
@@ -65,192 +60,189 @@ def _spread(level: DataFrame, periods: int, keys: Sequence[str]) -> DataFrame:
 
 
 def holt_winters(daily: DataFrame, value: str, horizon: int = 30, season: int = 7,
-                 keys: Sequence[str] = ()) -> DataFrame:
+                 keys: Sequence[str] = (), until=None) -> DataFrame:
     """Additive trend and season by exponential smoothing, fitted per series.
 
     The three smoothing parameters and the starting states minimise the squared
     one-step errors. For given parameters the errors are linear in the starting
     states, so these are solved by least squares and only the parameters are
-    searched. Series shorter than two seasons get the flat moving average. The
-    interval is ``yhat +- 1.96`` population deviations of the residuals.
+    searched, for many series at once. Series shorter than two seasons get the flat
+    moving average. The interval is ``yhat +- 1.96`` population deviations of the
+    residuals. ``until``: the last day of every series (default: its last row).
     """
-    def fit(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _fit_holt_winters(y, season, horizon)
-
-    return _per_series(daily, value, keys, horizon, 2 * season, fit, "holt_winters")
-
-
-def _per_series(daily, value, keys, horizon, shortest, fit, fitted) -> DataFrame:
-    """One fit per series; ``method`` says which rule gave the rows."""
-    filled = _filled(daily, value, keys)
-    key_list = list(keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds")
-        y = pdf["y"].to_numpy(dtype=float)
-        if len(y) >= shortest:
-            yhat, residuals = fit(y)
-            width, method = INTERVAL * residuals.std(), fitted
-        else:                     # as moving_average_forecast: rows, not filled days
-            recent = pdf.loc[pdf["is_row"], "given"].tail(30).dropna().to_numpy(dtype=float)
-            level = recent.mean() if len(recent) else np.nan
-            yhat, method = np.full(horizon, level), "moving_average"
-            width = INTERVAL * recent.std() if len(recent) else np.nan
-        ds = pd.date_range(pd.Timestamp(pdf["ds"].iloc[-1]) + pd.Timedelta(days=1),
-                           periods=horizon).date
-        out = pd.DataFrame({"ds": ds, "yhat": yhat, "lower": yhat - width,
-                            "upper": yhat + width, "method": method})
-        for k in key_list:
-            out[k] = pdf[k].iloc[0]
-        return out[[*key_list, "ds", "yhat", "lower", "upper", "method"]]
+    def fit(series: list[np.ndarray]) -> list[tuple]:
+        out = []
+        for yhat, residuals in many_series.fit_holt_winters(series, season, horizon):
+            width = INTERVAL * residuals.std()
+            out.append((yhat, yhat - width, yhat + width))
+        return out
 
-    fields = [f"{k} {filled.schema[k].dataType.simpleString()}" for k in keys]
-    schema = ", ".join([*fields, "ds date", "yhat double", "lower double", "upper double", "method string"])
-    groups = spread(filled, *keys) if keys else filled
-    return groups.groupBy(*keys).applyInPandas(run, schema)
+    return _per_series(daily, value, keys, horizon, 2 * season, fit, "holt_winters", until)
 
 
-def _smoothing_runs(y: np.ndarray, season: int, params: np.ndarray):
-    """One-step errors for every parameter row, split by starting state.
+def _per_series(daily, value, keys, horizon, shortest, fit, fitted, until=None) -> DataFrame:
+    """Fits of whole batches of series; ``method`` says which rule gave the rows.
 
-    Column 0 is the run from zero states; column j > 0 the response to a unit in
-    state j (level, trend, season slots) with no data. Returns the errors
-    (time, params, columns) and the final states.
+    A series travels as its given days and values alone, one row each; days between
+    them count 0, several rows of a day are added up. ``until`` ends all series.
     """
-    n, cells, width = len(y), len(params), 3 + season
-    alpha, beta, gamma = (params[:, i:i + 1] for i in range(3))
-    level, trend = np.zeros((cells, width)), np.zeros((cells, width))
-    slots = np.zeros((season, cells, width))
-    level[:, 1] = trend[:, 2] = 1.0
-    for j in range(season):
-        slots[j, :, 3 + j] = 1.0
-    data = np.zeros(width)
-    errors = np.empty((n, cells, width))
-    for t in range(n):
-        slot = slots[t % season]
-        data[0] = y[t]
-        error = errors[t]
-        np.subtract(data, level + trend + slot, out=error)
-        level = level + trend + alpha * error
-        trend = trend + alpha * beta * error
-        slot += gamma * error
-    return errors, level, trend, slots
-
-
-def _solve_starts(errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least-squares starting states and squared error for each parameter row."""
-    runs = np.ascontiguousarray(errors.transpose(1, 2, 0))      # params, columns, time
-    fixed, response = runs[:, :1], runs[:, 1:]
-    scale = np.sqrt((response ** 2).sum(axis=2, keepdims=True))
-    scale[scale < 1e-12] = 1.0
-    response = response / scale
-    gram = response @ response.transpose(0, 2, 1)
-    target = -response @ fixed.transpose(0, 2, 1)
-    starts = np.linalg.pinv(gram, rcond=1e-10, hermitian=True) @ target
-    left = fixed + starts.transpose(0, 2, 1) @ response
-    return (starts / scale)[:, :, 0], (left ** 2).sum(axis=(1, 2))
+    key_list = list(keys)
+    rows = daily.where(F.col("date").isNotNull()).select(
+        *keys, F.unix_date("date").alias("_d"), F.col(value).cast("double").alias("_y"))
+    if until is not None:
+        rows = rows.withColumn("_until", F.unix_date(until))
+        rows = rows.where(F.col("_d") <= F.col("_until"))
+    else:
+        rows = rows.withColumn("_until", F.lit(None).cast("int"))
+    rows = spread(rows, *keys) if keys else rows    # before the aggregate, which keeps it
+    series = rows.groupBy(*keys).agg(F.collect_list(F.struct("_d", "_y")).alias("_rows"),
+                                     F.max("_until").alias("_until"))
+    fields = [f"`{k}` {series.schema[k].dataType.simpleString()}" for k in keys]
+    schema = ", ".join([*fields, "ds date", "yhat double", "lower double", "upper double",
+                        "method string"])
+    steps = np.arange(1, horizon + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, many_series.SERIES):
+                yield some(batch.slice(at, many_series.SERIES))
+
+    def some(batch: pa.RecordBatch) -> pa.RecordBatch:
+        dense, given, last = [], [], []
+        for found, end in zip(batch.column("_rows").to_pylist(), batch.column("_until").to_pylist()):
+            by_day: dict[int, float | None] = {}
+            for r in sorted(found, key=lambda r: r["_d"]):
+                if r["_y"] is not None:
+                    by_day[r["_d"]] = (by_day.get(r["_d"]) or 0.0) + r["_y"]
+                else:
+                    by_day.setdefault(r["_d"], None)
+            days = list(by_day)
+            last.append((days[-1] if end is None else end) if days else None)
+            y = np.zeros(last[-1] - days[0] + 1 if days else 0)
+            for d, v in by_day.items():
+                y[d - days[0]] = v or 0.0
+            dense.append(y)
+            given.append(list(by_day.values()) if end is None else list(y))
+        long = [i for i, y in enumerate(dense) if len(y) >= shortest]
+        fits = dict(zip(long, fit([dense[i] for i in long]))) if long else {}
+        kept, ds, bounds, methods = [], [], [], []
+        for i, day in enumerate(last):
+            if day is None:
+                continue
+            if i in fits:
+                bounds.append(np.stack(fits[i]))
+            else:                 # as moving_average_forecast: rows, not filled days
+                recent = np.array([v for v in given[i][-30:] if v is not None])
+                level, width = (recent.mean(), INTERVAL * recent.std()) if len(recent) \
+                    else (np.nan, np.nan)
+                bounds.append(np.repeat([[level], [level - width], [level + width]], horizon, 1))
+            kept.append(i)
+            ds.append(day + steps)
+            methods += [fitted if i in fits else "moving_average"] * horizon
+        table = np.concatenate(bounds, 1) if bounds else np.zeros((3, 0))
+        take = pa.array(np.repeat(kept, horizon).astype(np.int64))
+        return pa.record_batch(
+            [*(batch.column(k).take(take) for k in key_list),
+             pa.array(np.concatenate([*ds, np.zeros(0)]).astype(np.int32)).cast(pa.date32()),
+             *(pa.array(x, from_pandas=True) for x in table), pa.array(methods, pa.string())],
+            names=[*key_list, "ds", "yhat", "lower", "upper", "method"])
+
+    return series.mapInArrow(run, schema)
 
 
 def _fit_holt_winters(y: np.ndarray, season: int,
                       horizon: int) -> tuple[np.ndarray, np.ndarray]:
-    unit = float(np.abs(y).max()) or 1.0
-    scaled = y / unit
-
-    def evaluate(shares):
-        # level weight a, trend weight as a share of a, season weight of 1 - a
-        params = np.column_stack([shares[:, 0], shares[:, 0] * shares[:, 1],
-                                  (1 - shares[:, 0]) * shares[:, 2]])
-        errors, *_ = _smoothing_runs(scaled, season, params)
-        return _solve_starts(errors)[1]
-
-    def best_of(shares):
-        shares = np.unique(np.clip(shares, 0.0, 1.0), axis=0)   # ascending
-        cost = evaluate(shares)
-        near = cost <= cost.min() * (1 + 1e-9) + 1e-18 * len(y)
-        return shares[np.flatnonzero(near)[0]]
-
-    def grid(*axes):
-        return np.stack(np.meshgrid(*axes, indexing="ij"), -1).reshape(-1, 3)
-
-    best = best_of(grid([0.0, .05, .1, .2, .35, .5, .7, .9], [0.0, .05, .2, .5, 1.0],
-                        [0.0, .05, .2, .5, 1.0]))
-    width = np.array([0.1, 0.15, 0.15])
-    for _ in range(6):
-        steps = np.array([-1.0, -0.5, 0.0, 0.5, 1.0])
-        best = best_of(grid(*[best[i] + width[i] * steps for i in range(3)]))
-        width = width / 2
-
-    a, b, c = best
-    params = np.array([[a, a * b, (1 - a) * c]])
-    errors, level, trend, slots = _smoothing_runs(scaled, season, params)
-    starts, _ = _solve_starts(errors)
-    mix = np.concatenate([[1.0], starts[0]])
-    steps = np.arange(1, horizon + 1)
-    seasonal = (slots[:, 0, :] @ mix)[(len(y) + steps - 1) % season]
-    yhat = level[0] @ mix + steps * (trend[0] @ mix) + seasonal
-    return yhat * unit, (errors[:, 0, :] @ mix) * unit
+    return many_series.fit_holt_winters([y], season, horizon)[0]
 
 
 # -- Trend, change points and seasonality by regression ---------------------------
 
 
 def seasonal_forecast(daily: DataFrame, value: str, periods: int = 30,
-                      keys: Sequence[str] = (), change_points: int = 10,
-                      weekly_terms: int = 3, yearly_terms: int = 5,
-                      ridge: float = 1e-3, yearly_from: int = 731) -> DataFrame:
+                      keys: Sequence[str] = (), change_points: int = 25,
+                      weekly_terms: int = 3, yearly_terms: int = 5, yearly_from: int = 731,
+                      level: float = 0.95, until=None) -> DataFrame:
     """Trend with change points plus weekly and yearly waves, by least squares.
 
-    The model shape follows Taylor and Letham (2018): a linear trend that may
-    bend at ``change_points`` evenly spaced dates in the first 80 % of the
-    history, and sine / cosine pairs for the week and, for histories of at least
-    ``yearly_from`` days, for the year. Bends are held small by a ridge penalty. Series shorter
-    than the number of terms get the flat moving average.
+    The model shape follows Taylor and Letham (2018): a linear trend that may bend
+    at some of ``change_points`` evenly spaced dates in the first 90 % of the history,
+    and sine / cosine pairs for the week and, for histories of at least ``yearly_from``
+    days, for the year. An L1 penalty proposes few bends, which are then fitted without
+    penalty. The interval covers ``level`` of the days by the quantiles of the
+    residuals. Series shorter than two weeks and than the terms need get the flat
+    moving average. ``until``: the last day of every series (default: its last row).
     """
-    def fit(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        yearly = yearly_terms if len(y) >= yearly_from else 0
-        return _fit_regression(y, periods, change_points, weekly_terms, yearly, ridge)
+    def fit(series: list[np.ndarray]) -> list[tuple]:
+        return [many_series.fit_bends(
+            y, periods, change_points, weekly_terms, yearly_terms if len(y) >= yearly_from else 0,
+            level)[:3] for y in series]
 
-    return _per_series(daily, value, keys, periods,
-                       2 + change_points + 2 * weekly_terms + 1, fit, "seasonal")
+    return _per_series(daily, value, keys, periods, 2 * (2 + 2 * weekly_terms) + 7, fit,
+                       "seasonal", until)
 
 
-def _fit_regression(y, periods, change_points, weekly_terms, yearly, ridge):
-    n = len(y)
-    bends = np.linspace(0, 0.8, change_points + 1)[1:]
+def change_points(daily: DataFrame, value: str, keys: Sequence[str] = (), candidates: int = 25,
+                  weekly_terms: int = 3, yearly_terms: int = 5,
+                  yearly_from: int = 731) -> DataFrame:
+    """The bends of the trend that ``seasonal_forecast`` chooses: key..., date, slope change.
 
-    def design(day: np.ndarray) -> np.ndarray:
-        t = day / n
-        waves = [f(2 * np.pi * k * day / length)
-                 for length, terms in ((7.0, weekly_terms), (365.25, yearly))
-                 for k in range(1, terms + 1) for f in (np.sin, np.cos)]
-        hinges = [np.maximum(t - c, 0.0) for c in bends]
-        return np.column_stack([np.ones_like(t), t, *hinges, *waves])
+    ``slope_change`` is in units of the value per day. Series too short for a fit, and
+    those without a bend, have no row.
+    """
+    shortest = 2 * (2 + 2 * weekly_terms) + 7
+
+    def fit(y: np.ndarray) -> np.ndarray:
+        return many_series.fit_bends(y, 1, candidates, weekly_terms,
+                                     yearly_terms if len(y) >= yearly_from else 0, 0.95)[3]
+
+    filled = fill_days(daily, value, keys)
+    key_list = list(keys)
 
-    past = design(np.arange(n, dtype=float))
-    penalty = np.zeros(past.shape[1])
-    penalty[2:2 + change_points] = ridge * n
-    weights = np.linalg.lstsq(np.vstack([past, np.diag(np.sqrt(penalty))]),
-                              np.concatenate([y, np.zeros(len(penalty))]), rcond=None)[0]
-    future = design(np.arange(n, n + periods, dtype=float))
-    return future @ weights, y - past @ weights
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ds")
+        bends = fit(pdf["y"].to_numpy(dtype=float)) if len(pdf) >= shortest else np.zeros((0, 2))
+        out = pd.DataFrame({"date": pdf["ds"].to_numpy()[bends[:, 0].astype(int)],
+                            "slope_change": bends[:, 1]})
+        for k in key_list:
+            out[k] = pdf[k].iloc[0]
+        return out[[*key_list, "date", "slope_change"]]
+
+    fields = [f"`{k}` {filled.schema[k].dataType.simpleString()}" for k in keys]
+    groups = spread(filled, *keys) if keys else filled
+    return groups.groupBy(*keys).applyInPandas(run, ", ".join(
+        [*fields, "date date", "slope_change double"]))
 
 
 # -- Demand and comparison ---------------------------------------------------------
 
 
 def demand_forecast(sales: DataFrame, periods: int = 30, as_of=None, window: int = 30,
-                    method: str = "moving_average") -> DataFrame:
+                    method: str = "moving_average", products: DataFrame | None = None,
+                    history: int | None = None) -> DataFrame:
     """Units per product and future day.
 
     ``sales`` is one row per product and date with a sale. The default is the flat
-    mean over the last ``window`` calendar days (days without a sale count as 0);
-    ``holt_winters`` and ``seasonal`` fit each product, and fall back to the flat
-    mean where its history is short.
+    mean over the last ``window`` calendar days (days without a sale count as 0).
+    ``holt_winters`` and ``seasonal`` fit each product's days from its first sale (of
+    the last ``history`` days, if given) to ``as_of``, floored at 0, and fall back to
+    the flat mean where there are too few; ``method`` says which rule was used. With
+    ``products``, those without a sale in that time follow with 0 and ``no_sales``.
     """
-    if method == "holt_winters":
-        return holt_winters(sales, "quantity", periods, keys=["product_id"])
-    if method == "seasonal":
-        return seasonal_forecast(sales, "quantity", periods, keys=["product_id"])
+    if method in ("holt_winters", "seasonal"):
+        today = resolve_as_of(sales, as_of)
+        recent = sales.where(F.col("date") > F.date_sub(today, history)) if history else sales
+        fit = holt_winters if method == "holt_winters" else seasonal_forecast
+        fitted = fit(recent, "quantity", periods, keys=["product_id"], until=today).withColumns(
+            {c: F.greatest(F.col(c), F.lit(0.0)) for c in ("yhat", "lower", "upper")})
+        if products is None:
+            return fitted
+        zero = F.lit(0.0)
+        without = products.select("product_id").join(
+            recent.where(F.col("date") <= today).select("product_id"), "product_id", "left_anti")
+        days = F.explode(F.sequence(F.date_add(today, 1), F.date_add(today, periods)))
+        return fitted.unionByName(without.select(
+            "product_id", days.alias("ds"), zero.alias("yhat"), zero.alias("lower"),
+            zero.alias("upper"), F.lit("no_sales").alias("method")))
     if method != "moving_average":
         raise ValueError(f"unknown method {method!r}")
     today = resolve_as_of(sales, as_of)

@@ -174,9 +174,9 @@ class SalesModel:
         """Sale lines with their date, all or of the last days."""
         return self.lines().join(self.headers(last_days), "order_id")
 
-    def product_daily(self) -> DataFrame:
-        """One row per product and date with a sale."""
-        return self.dated_lines().groupBy("product_id", "date").agg(
+    def product_daily(self, last_days: int | None = None) -> DataFrame:
+        """One row per product and date with a sale, of all or the last days."""
+        return self.dated_lines(last_days).groupBy("product_id", "date").agg(
             F.sum("quantity").alias("quantity"), exact_total("revenue_e4").alias("revenue"))
 
     def stock_snapshots(self) -> DataFrame:

@@ -508,6 +508,19 @@ def demand_forecast(m):
     return _forecast(forecast.demand_forecast(m.product_daily(), as_of=m.as_of()))
 
 
+@query
+def demand_holt_winters(m):
+    """Every product's demand fitted on the last 52 weeks, never-sold products included."""
+    return forecast.demand_forecast(m.product_daily(last_days=364), as_of=m.as_of(), history=364,
+                                    method="holt_winters", products=m.products())
+
+
+@query
+def trend_change_points(m):
+    """Where the trend of a region's revenue bends."""
+    return forecast.change_points(m.region_daily(), "revenue", keys=["region"])
+
+
 @query
 def filled_days(m):
     """The gap-free daily series the forecasts are fitted on."""
