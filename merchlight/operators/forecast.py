@@ -87,13 +87,12 @@ def _per_series(daily, value, keys, horizon, shortest, fit, fitted, until=None)
     them count 0, several rows of a day are added up. ``until`` ends all series.
     """
     key_list = list(keys)
+    last_day = F.lit(None).cast("int") if until is None else F.unix_date(until)
     rows = daily.where(F.col("date").isNotNull()).select(
-        *keys, F.unix_date("date").alias("_d"), F.col(value).cast("double").alias("_y"))
+        *keys, F.unix_date("date").alias("_d"), F.col(value).cast("double").alias("_y"),
+        last_day.alias("_until"))
     if until is not None:
-        rows = rows.withColumn("_until", F.unix_date(until))
         rows = rows.where(F.col("_d") <= F.col("_until"))
-    else:
-        rows = rows.withColumn("_until", F.lit(None).cast("int"))
     rows = spread(rows, *keys) if keys else rows    # before the aggregate, which keeps it
     series = rows.groupBy(*keys).agg(F.collect_list(F.struct("_d", "_y")).alias("_rows"),
                                      F.max("_until").alias("_until"))
@@ -284,3 +283,72 @@ def forecast_vs_actual(forecast: DataFrame, daily: DataFrame, value: str, n: int
     else:
         both = ahead.withColumn("actual_mean", actual.scalar())
     return both.withColumn("delta", F.col("forecast_mean") - F.col("actual_mean"))
+
+
+# -- forecasts against the days that followed ------------------------------------------
+
+
+def rolling_origins(daily: DataFrame, value: str, method: str = "moving_average",
+                    keys: Sequence[str] = (), horizon: int = 30, origins: int = 6,
+                    step: int = 30, window: int = 30, history: int | None = None,
+                    as_of=None) -> DataFrame:
+    """Forecasts as they would have been made at several past days: one fit a series and origin.
+
+    The origins lie ``step`` days apart, the last one ``horizon`` days before ``as_of``
+    (default: the last date), and see the rows up to themselves (of ``history`` days, if
+    given). Columns: key..., ``origin, ds, step`` (days ahead), ``yhat, lower, upper``.
+    A series without a row up to an origin has no forecast there. Every row is
+    copied to the origins that see it, so ``origins`` times ``history`` bounds the work.
+    """
+    if "origin" in keys:
+        raise ValueError("a key must not be named origin")
+    today = resolve_as_of(daily, as_of)
+    ends = F.array(*[F.date_sub(today, horizon + i * step) for i in range(origins)])
+    seen = daily.select(*keys, "date", value, F.explode(ends).alias("origin"))
+    seen = seen.where(F.col("date") <= F.col("origin"))
+    if history:
+        seen = seen.where(F.col("date") > F.date_sub("origin", history))
+    series = [*keys, "origin"]
+    if method == "moving_average":
+        recent = with_age(seen, window, keys=series)
+        level = recent.groupBy(*series).agg(
+            mean_of(value).alias("yhat"),
+            F.stddev_pop(F.col(value).cast("double")).alias("_std"))
+        ahead = _spread(level.withColumn("_last", F.col("origin")), horizon, series)
+    elif method in ("holt_winters", "seasonal"):
+        fit = holt_winters if method == "holt_winters" else seasonal_forecast
+        ahead = fit(seen, value, horizon, keys=series, until=F.col("origin")).drop("method")
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return ahead.withColumn("step", F.datediff("ds", "origin"))
+
+
+def on_days(forecast: DataFrame, daily: DataFrame, value: str, keys: Sequence[str] = (),
+            missing: float | None = 0.0) -> DataFrame:
+    """Every forecast day with what was realised on it: a left join on key and date.
+
+    ``actual`` is the value of that day; a day within the table's dates without a row
+    counts ``missing``, a later one is null. ``inside``: within the interval.
+    """
+    last = daily.agg(F.max("date").alias("d")).scalar()
+    realised = daily.select(*keys, F.col("date").alias("ds"), F.col(value).cast("double").alias("actual"))
+    both = forecast.join(realised, [*keys, "ds"], "left")
+    if missing is not None:
+        both = both.withColumn("actual", F.when(
+            F.col("ds") <= last, F.coalesce("actual", F.lit(missing))))
+    return both.withColumn("inside", F.col("actual").between(F.col("lower"), F.col("upper")))
+
+
+def error_measures(compared: DataFrame, by: Sequence[str] = ("step",)) -> DataFrame:
+    """Errors of the days that have been realised, by days ahead or any other columns.
+
+    ``bias`` is the mean of forecast less actual, ``mae`` and ``rmse`` its size,
+    ``wape`` the sum of absolute errors in percent of the sum of absolute actuals (null
+    if that is 0), ``coverage`` the share of days inside the interval.
+    """
+    error = F.col("yhat") - F.col("actual")
+    return compared.where(F.col("actual").isNotNull() & F.col("yhat").isNotNull()).groupBy(*by).agg(
+        F.count("*").alias("n_days"), F.avg(error).alias("bias"), F.avg(F.abs(error)).alias("mae"),
+        F.sqrt(F.avg(error * error)).alias("rmse"),
+        (F.try_divide(F.sum(F.abs(error)), F.sum(F.abs("actual"))) * 100).alias("wape"),
+        F.avg(F.col("inside").cast("double")).alias("coverage"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from merchlight.functions.measures import (
@@ -109,6 +110,65 @@ def inventory_needs(position: DataFrame, periods: int = 30,
         "restock_quantity": F.greatest(F.lit(0), F.ceil(need)).cast("bigint")})
 
 
+def project_stock(position: DataFrame, forecast: DataFrame,
+                  in_transit: DataFrame | None = None) -> DataFrame:
+    """Stock of every product day by day under a forecast: what arrives, sells and is missed.
+
+    ``forecast`` has ``product_id, ds, yhat`` of any method, ``in_transit`` the
+    ``product_id, ds, quantity`` of orders on their way. A day's arrivals come before
+    its sales, and stock never falls below 0: what is missing is lost. The recurrence
+    ``max(stock + arrivals - demand, 0)`` is the running sum less its lowest point below
+    0 so far, so windows over a product's days say it. Products without a forecast
+    have no row; negative and missing demand count 0.
+    """
+    demand = F.greatest(F.coalesce("yhat", F.lit(0.0)), F.lit(0.0))
+    days = forecast.select("product_id", "ds", demand.alias("demand"))
+    if in_transit is not None:
+        coming = in_transit.groupBy("product_id", "ds").agg(F.sum("quantity").alias("arrivals"))
+        days = days.join(coming, ["product_id", "ds"], "left")
+    else:
+        days = days.withColumn("arrivals", F.lit(0))
+    days = days.withColumn("arrivals", F.coalesce(F.col("arrivals"), F.lit(0)).cast("bigint"))
+    stock = F.greatest(F.coalesce("quantity_on_hand", F.lit(0)), F.lit(0))
+    rows = days.join(position.select("product_id", stock.alias("_stock")), "product_id")
+    until = W.partitionBy("product_id").orderBy("ds")
+    free = F.col("_stock") + F.sum(F.col("arrivals") - F.col("demand")).over(until)
+    rows = rows.withColumn("_free", free)
+    lost = F.greatest(-F.min("_free").over(until), F.lit(0.0))
+    rows = rows.withColumn("_lost", lost)
+    return rows.select(
+        "product_id", "ds", "demand", "arrivals", (F.col("_free") + F.col("_lost")).alias("stock"),
+        (F.col("_lost") - F.coalesce(F.lag("_lost").over(until), F.lit(0.0))).alias("lost"))
+
+
+def restock_plan(position: DataFrame, forecast: DataFrame, in_transit: DataFrame | None = None,
+                 safety_days: int = 14, lead_days: int = 7) -> DataFrame:
+    """What to order, and by when, from a day-by-day projection.
+
+    The quantity covers the forecast demand and ``safety_days`` of its mean, less the
+    stock and what arrives; under a flat forecast without orders in transit it is that of
+    ``inventory_needs``. ``stock_out`` is the first day with lost sales, ``order_by`` the
+    day ``lead_days`` before. Products without a forecast need nothing.
+    """
+    days = project_stock(position, forecast, in_transit)
+    sums = days.groupBy("product_id").agg(
+        F.sum("demand").alias("expected_demand"), F.avg("demand").alias("_mean"),
+        F.sum("arrivals").alias("arrivals"), F.sum("lost").alias("lost_demand"),
+        F.min("stock").alias("lowest_stock"),
+        F.min(F.when(F.col("lost") > 1e-6, F.col("ds"))).alias("stock_out"))
+    need = F.col("expected_demand") + F.col("_mean") * safety_days - F.col("arrivals") \
+        - F.col("quantity_on_hand")
+    zero = F.lit(0.0)
+    return position.select("product_id", F.coalesce("quantity_on_hand", F.lit(0)).cast("bigint")
+                           .alias("quantity_on_hand")).join(sums, "product_id", "left").select(
+        "product_id", "quantity_on_hand", F.coalesce("arrivals", F.lit(0)).alias("arrivals"),
+        *[F.coalesce(c, zero).alias(c) for c in ("expected_demand", "lost_demand")],
+        F.coalesce("lowest_stock", F.greatest("quantity_on_hand", F.lit(0)).cast("double"))
+        .alias("lowest_stock"), "stock_out", F.date_sub("stock_out", lead_days).alias("order_by"),
+        F.greatest(F.lit(0), F.ceil(F.round(F.coalesce(need, zero), 6))).cast("bigint")
+        .alias("restock_quantity"))
+
+
 def restock_list(position: DataFrame, periods: int = 30, safety_days: int = 14,
                  below: float = LOW_DAYS) -> DataFrame:
     """Products that run out soon or sit below their reorder level, most urgent first."""

@@ -188,6 +188,14 @@ class SalesModel:
             .cast("int").alias("quantity_on_hand"),
             F.col("l_shipdate").cast("date").alias("last_updated"))
 
+    def in_transit(self) -> DataFrame:
+        """Deliveries due after the reference day: by a fixed rule, the first lines of
+        orders that ship later bring their quantity on that day."""
+        lines = self.table("lineitem").where(F.col("l_linenumber") == 1)
+        return lines.select(
+            F.col("l_partkey").alias("product_id"), F.col("l_shipdate").cast("date").alias("ds"),
+            F.col("l_quantity").cast("bigint").alias("quantity")).where(F.col("ds") > self.as_of())
+
     def movement_stream(self) -> DataFrame:
         """Stock movements by product as a stream over the sale lines.
 

@@ -375,6 +375,24 @@ def inventory_needs(m):
                         "restock_quantity").withColumns(rounded(4, "expected_demand"))
 
 
+def _demand_ahead(m):
+    """The flat forecast; products that never sell have none."""
+    return forecast.demand_forecast(m.product_daily(), as_of=m.as_of())
+
+
+@query
+def stock_projection(m):
+    """Stock day by day under the flat forecast, with orders in transit."""
+    days = inventory.project_stock(_position(m), _demand_ahead(m), m.in_transit())
+    return days.withColumns(rounded(4, "demand", "stock", "lost"))
+
+
+@query
+def restock_plan(m):
+    plan = inventory.restock_plan(_position(m), _demand_ahead(m), m.in_transit())
+    return plan.withColumns(rounded(4, "expected_demand", "lost_demand", "lowest_stock"))
+
+
 @query
 def restock_list(m):
     urgent = inventory.restock_list(_position(m))
@@ -547,6 +565,37 @@ def _delta(df):
                                   "actual_mean", "delta"))
 
 
+def _errors(df):
+    return df.withColumns(rounded(4, "bias", "mae", "rmse", "wape", "coverage"))
+
+
+@query
+def forecast_backtest(m):
+    """Flat forecasts of six past days for every region, beside what followed."""
+    daily = stage(m.region_daily(), "region-daily")     # read by origins, days and last date
+    ahead = forecast.rolling_origins(daily, "total_sales", keys=["region"])
+    return forecast.on_days(ahead, daily, "total_sales", ["region"]).withColumns(
+        rounded(4, "yhat", "lower", "upper", "actual"))
+
+
+@query
+def forecast_errors(m):
+    """Errors of flat forecasts by days ahead."""
+    daily = stage(m.region_daily(), "region-daily")
+    ahead = forecast.rolling_origins(daily, "total_sales", keys=["region"])
+    return _errors(forecast.error_measures(
+        forecast.on_days(ahead, daily, "total_sales", ["region"])))
+
+
+@query
+def holt_winters_errors(m):
+    """Errors of fitted forecasts by region and days ahead, one fit a region and origin."""
+    daily = stage(m.region_daily(), "region-daily")
+    ahead = forecast.rolling_origins(daily, "total_sales", "holt_winters", ["region"], history=364)
+    return _errors(forecast.error_measures(
+        forecast.on_days(ahead, daily, "total_sales", ["region"]), ["region", "step"]))
+
+
 # -- advice -------------------------------------------------------------------------
 
 

@@ -784,3 +784,65 @@ SELECT product_id, date, closed, n_rows, units,
   CASE WHEN closed AND worse THEN ['healthy', 'low', 'critical'][r + 1] END AS stock_alert,
   CASE WHEN closed THEN drops END AS drop_alert, 0::BIGINT AS late_rows
 FROM told"""
+
+# -- forecasts against the days that followed, stock under a forecast ----------------------
+
+PROJECTED = """
+, level AS (SELECT product_id, coalesce(sum(quantity) FILTER (date > d - 30 AND date <= d), 0)
+    ::DOUBLE / 30 AS demand, any_value(d) AS d FROM product_day, today GROUP BY product_id),
+ahead AS (SELECT product_id, CAST(d + CAST(i AS INTEGER) AS DATE) AS ds, demand
+  FROM level, range(1, 31) AS r(i)),
+coming AS (SELECT l_partkey AS product_id, CAST(l_shipdate AS DATE) AS ds,
+    CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS arrivals
+  FROM lineitem, today WHERE l_linenumber = 1 AND CAST(l_shipdate AS DATE) > d GROUP BY 1, 2),
+moved AS (SELECT product_id, ds, demand, coalesce(arrivals, 0) AS arrivals, quantity_on_hand
+  FROM ahead LEFT JOIN coming USING (product_id, ds) JOIN position USING (product_id)),
+free AS (SELECT *, quantity_on_hand + sum(arrivals - demand) OVER (
+    PARTITION BY product_id ORDER BY ds) AS free FROM moved),
+short AS (SELECT *, greatest(-min(free) OVER (PARTITION BY product_id ORDER BY ds), 0) AS missed
+  FROM free),
+projected AS (SELECT product_id, ds, demand, CAST(arrivals AS BIGINT) AS arrivals, free + missed AS stock,
+    missed - lag(missed, 1, 0) OVER (PARTITION BY product_id ORDER BY ds) AS lost FROM short)"""
+
+ORACLES["stock_projection"] = _with("product_day today position", f"""{PROJECTED}
+SELECT product_id, ds, round(demand, 4) AS demand, arrivals, round(stock, 4) AS stock,
+  round(lost, 4) AS lost FROM projected""")
+
+ORACLES["restock_plan"] = _with("product_day today position", f"""{PROJECTED},
+sums AS (SELECT product_id, sum(demand) AS expected, avg(demand) AS mean,
+    CAST(sum(arrivals) AS BIGINT) AS arrivals, sum(lost) AS lost, min(stock) AS lowest,
+    min(ds) FILTER (lost > 1e-6) AS stock_out FROM projected GROUP BY product_id)
+SELECT product_id, CAST(quantity_on_hand AS BIGINT) AS quantity_on_hand,
+  coalesce(arrivals, 0) AS arrivals, round(coalesce(expected, 0), 4) AS expected_demand,
+  round(coalesce(lost, 0), 4) AS lost_demand,
+  round(coalesce(lowest, greatest(quantity_on_hand, 0)), 4)::DOUBLE AS lowest_stock, stock_out,
+  CAST(stock_out - 7 AS DATE) AS order_by, CAST(greatest(0, ceil(round(coalesce(
+    expected + mean * 14 - arrivals - quantity_on_hand, 0), 6))) AS BIGINT) AS restock_quantity
+FROM position LEFT JOIN sums USING (product_id)""")
+
+COMPARED = """
+, span AS (SELECT max(date) AS last FROM region_day),
+origin AS (SELECT CAST(last - 30 - 30 * CAST(i AS INTEGER) AS DATE) AS origin
+  FROM span, range(0, 6) AS r(i)),
+seen AS (SELECT region, origin, total_sales, row_number() OVER (
+    PARTITION BY region, origin ORDER BY date DESC) AS age
+  FROM region_day, origin WHERE date <= origin),
+level AS (SELECT region, origin, sum(total_sales)::DOUBLE / count(total_sales) AS yhat,
+    stddev_pop(total_sales::DOUBLE) AS std FROM seen WHERE age <= 30 GROUP BY region, origin),
+ahead AS (SELECT region, origin, CAST(origin + CAST(i AS INTEGER) AS DATE) AS ds,
+    CAST(i AS INTEGER) AS step, yhat, yhat - std * 1.96 AS lower, yhat + std * 1.96 AS upper
+  FROM level, range(1, 31) AS r(i)),
+compared AS (SELECT ahead.*, CASE WHEN ds <= last THEN coalesce(total_sales, 0)::DOUBLE END AS actual
+  FROM span, ahead LEFT JOIN region_day ON ahead.region = region_day.region AND ds = date)"""
+
+ORACLES["forecast_backtest"] = _with("region_day", f"""{COMPARED}
+SELECT region, origin, ds, step, round(yhat, 4) AS yhat, round(lower, 4) AS lower,
+  round(upper, 4) AS upper, round(actual, 4) AS actual, actual BETWEEN lower AND upper AS inside
+FROM compared""")
+
+ORACLES["forecast_errors"] = _with("region_day", f"""{COMPARED}
+SELECT step, count(*) AS n_days, round(avg(yhat - actual), 4) AS bias,
+  round(avg(abs(yhat - actual)), 4) AS mae, round(sqrt(avg((yhat - actual) * (yhat - actual))), 4) AS rmse,
+  round(sum(abs(yhat - actual)) / nullif(sum(abs(actual)), 0) * 100, 4) AS wape,
+  round(avg(CASE WHEN actual BETWEEN lower AND upper THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS coverage
+FROM compared WHERE actual IS NOT NULL GROUP BY step""")
