@@ -9,9 +9,15 @@ single row per map task before it is shuffled.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from merchlight.functions.measures import exact_total, ratio, ten_thousandths
+from merchlight.session import shared_dir, stage
+from merchlight.sources.sinks import with_month
+from merchlight.sources.versioned import VersionedTable
 
 # Product categories of the part table, the day the daily stock
 # rule counts from, and the reorder level of every product.
@@ -65,8 +71,9 @@ class SalesModel:
             F.date_sub(F.max("o_orderdate").cast("date"), days)
             .cast("timestamp_ntz").alias("bound")).scalar()
 
-    def headers(self, last_days: int | None = None) -> DataFrame:
-        """Order id, customer and date; ``last_days`` keeps ``as_of - days`` and later.
+    def headers(self, last_days: int | None = None, since=None) -> DataFrame:
+        """Order id, customer and date; ``last_days`` keeps ``as_of - days`` and later,
+        ``since`` a given date and later.
 
         The bound is one value compared with the stored column, as scan filters need
         it. Parquet skips row groups by dates and numbers; for the zone-less
@@ -75,6 +82,9 @@ class SalesModel:
         orders = self.table("orders")
         if last_days is not None:
             orders = orders.filter(F.col("o_orderdate") >= self._since(last_days))
+        if since is not None:
+            orders = orders.filter(F.col("o_orderdate") >=
+                                   F.lit(str(since)).cast("date").cast("timestamp_ntz"))
         return orders.select(
             F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"),
             F.col("o_orderdate").cast("date").alias("date"))
@@ -103,9 +113,15 @@ class SalesModel:
 
     # -- added-up grains ---------------------------------------------------------
 
-    def order_totals(self, last_days: int | None = None) -> DataFrame:
+    def order_totals(self, last_days: int | None = None, since=None) -> DataFrame:
         """One row per order: lines are added up by order before the header join,
-        which then runs on the partitioning the aggregate left behind."""
+        which then runs on the partitioning the aggregate left behind. With ``since``
+        the few headers come first, and other orders' lines are not added up."""
+        if since is not None:
+            dated = self.lines().join(self.headers(since=since), "order_id")
+            return dated.groupBy("order_id", "customer_id", "date").agg(
+                F.count("*").alias("sale_rows"), F.sum("quantity").alias("quantity"),
+                exact_total("revenue_e4").alias("revenue"))
         totals = self.lines().groupBy("order_id").agg(
             F.count("*").alias("sale_rows"), F.sum("quantity").alias("quantity"),
             exact_total("revenue_e4").alias("revenue"))
@@ -125,35 +141,70 @@ class SalesModel:
             F.sum("revenue").alias("revenue"))
         return per_customer.join(self.customer_regions(), "customer_id")
 
-    def daily_totals(self, last_days: int | None = None) -> DataFrame:
-        """One row per date, with the derived stock level of that day."""
-        daily = self.order_totals(last_days).groupBy("date").agg(
+    def last_rows(self, n: int, build, keys: Sequence[str] = ()) -> DataFrame:
+        """At least the last ``n`` dates with sales (of every region, if a key).
+
+        The n-th newest order date bounds the headers before any line is joined; it
+        comes from one column, as one row for each date. Dates whose orders have no
+        line are no rows, so if rows are missing the bound goes back four times as many
+        dates, until it is the first. The result is one row a date and key, written.
+        """
+        dates = self.table("orders").select(
+            F.col("o_orderdate").cast("date").alias("date")).where("date IS NOT NULL").distinct()
+        groups = self.table("region").count() if keys else 1
+        want = n
+        while True:
+            bound = dates.orderBy(F.desc("date")).limit(want).agg(
+                F.min("date").alias("since"), F.count("*").alias("dates")).first()
+            found = stage(build(bound["since"]), "last-rows")
+            if bound["dates"] < want:
+                return found
+            full = found.groupBy(*keys).count().where(F.col("count") >= n).count()
+            if full >= groups:
+                return found
+            want *= 4
+
+    def daily_totals(self, last_days: int | None = None, last_rows: int | None = None,
+                     since=None) -> DataFrame:
+        """One row per date, with the derived stock level of that day; ``last_rows``
+        keeps at least that many newest ones."""
+        if last_rows is not None:
+            return self.last_rows(last_rows, lambda d: self.daily_totals(since=d))
+        daily = self.order_totals(last_days, since).groupBy("date").agg(
             F.sum("sale_rows").alias("sale_rows"), F.count("*").alias("orders"),
             F.sum("quantity").alias("total_sales"), F.sum("quantity").alias("quantity"),
             F.sum("revenue").alias("revenue"))
         return daily.withColumn("inventory_level", stock_level())
 
-    def order_metrics(self) -> DataFrame:
+    def order_metrics(self, since=None) -> DataFrame:
         """One row per order with its units split by category.
 
         The split happens while lines are added up, so the joins above it and the
-        distinct customers work on orders, not on lines.
+        distinct customers work on orders, not on lines. With ``since`` the few headers
+        are joined first.
         """
-        items = self.lines().join(self.products().select("product_id", "category"),
-                                  "product_id")
-        return items.groupBy("order_id").agg(
+        lines, by = self.lines(), ["order_id"]
+        if since is not None:
+            lines, by = lines.join(self.headers(since=since), "order_id"), \
+                ["order_id", "customer_id", "date"]
+        items = lines.join(self.products().select("product_id", "category"), "product_id")
+        orders = items.groupBy(*by).agg(
             F.sum("quantity").alias("quantity"), exact_total("revenue_e4").alias("revenue"),
             *[F.sum(F.when(F.col("category") == c, F.col("quantity")).otherwise(0)).alias(n)
-              for c, n in zip(CATEGORIES, CATEGORY_COLUMNS)]
-        ).join(self.headers(), "order_id")
+              for c, n in zip(CATEGORIES, CATEGORY_COLUMNS)])
+        return orders if since is not None else orders.join(self.headers(), "order_id")
 
-    def daily_metrics(self) -> DataFrame:
+    def daily_metrics(self, last_rows: int | None = None, since=None) -> DataFrame:
         """The wide daily table: totals, stock, customers, one column per category."""
-        return _by_day(self.order_metrics())
+        if last_rows is not None:
+            return self.last_rows(last_rows, lambda d: self.daily_metrics(since=d))
+        return _by_day(self.order_metrics(since))
 
-    def region_metrics(self) -> DataFrame:
+    def region_metrics(self, last_rows: int | None = None, since=None) -> DataFrame:
         """The wide daily table per region."""
-        orders = self.order_metrics().join(self.customer_regions(), "customer_id")
+        if last_rows is not None:
+            return self.last_rows(last_rows, lambda d: self.region_metrics(since=d), ["region"])
+        orders = self.order_metrics(since).join(self.customer_regions(), "customer_id")
         return _by_day(orders, "region")
 
     def category_daily(self) -> DataFrame:
@@ -162,9 +213,11 @@ class SalesModel:
                                   "product_id").join(self.headers(), "order_id")
         return items.groupBy("date", "category").agg(F.sum("quantity").alias("sales"))
 
-    def region_daily(self) -> DataFrame:
-        """One row per region and date."""
-        orders = self.order_totals().join(self.customer_regions(), "customer_id")
+    def region_daily(self, last_rows: int | None = None, since=None) -> DataFrame:
+        """One row per region and date; ``last_rows`` keeps at least that many newest of each."""
+        if last_rows is not None:
+            return self.last_rows(last_rows, lambda d: self.region_daily(since=d), ["region"])
+        orders = self.order_totals(since=since).join(self.customer_regions(), "customer_id")
         daily = orders.groupBy("region", "date").agg(
             F.sum("sale_rows").alias("sale_rows"), F.count("*").alias("orders"),
             F.sum("quantity").alias("total_sales"), F.sum("revenue").alias("revenue"))
@@ -213,6 +266,45 @@ class SalesModel:
             .otherwise(F.col("l_quantity").cast("bigint")).alias("quantity"),
             F.col("l_orderkey").alias("line"))
 
+    # -- the stored fact -----------------------------------------------------------
+
+    def stored_orders(self, path: str | None = None) -> VersionedTable:
+        """Order totals by month; by default in a folder of the shared one for this model."""
+        named = hashlib.sha256(self.root.encode()).hexdigest()[:16]
+        return VersionedTable(
+            self.spark, path or f"{shared_dir(self.spark)}/merchlight/orders-by-month-{named}",
+            "order_id long, customer_id long, date date, sale_rows long, quantity long, "
+            "revenue decimal(38,4), month string", notes="n_orders long, mark long")
+
+    def refresh_orders(self, table: VersionedTable) -> list[str]:
+        """Bring the stored fact up to date; the months written.
+
+        A month's number of orders and a mark of their ids, customers and dates, from
+        the headers alone, are compared with those in the table's manifest; only the
+        months that differ are joined with lines and written, as one new version. An
+        order's lines are taken to come with it: changed lines of old headers go
+        unseen. Orders without a date are left out, months without orders dropped.
+        """
+        headers = with_month(self.headers().where("date IS NOT NULL"))
+        marks = headers.groupBy("month").agg(
+            F.count("*").alias("n"), F.bit_xor(F.xxhash64("order_id", "customer_id", "date"))
+            .alias("mark")).collect()                       # one row a month
+        now = {r["month"]: (r["n"], r["mark"]) for r in marks}
+        known = {r["month"]: (r["n_orders"], r["mark"]) for r in table.manifest()}
+        changed = sorted(m for m in now if known.get(m) != now[m])
+        gone = sorted(set(known) - set(now))
+        if not changed and not gone:
+            return []
+        first, last = (min(changed), max(changed)) if changed else ("9999-12", "9999-12")
+        end = F.add_months(F.to_date(F.lit(f"{last}-01")), 1)
+        whole = len(changed) == len(now)
+        totals = self.order_totals() if whole else self.order_totals(since=f"{first}-01") \
+            .where(F.col("date") < end)
+        rows = with_month(totals.where("date IS NOT NULL")).where(F.col("month").isin(changed))
+        versions = table.versions()
+        table.replace(rows, versions[-1] + 1 if versions else 0, [*gone, *changed], now)
+        return changed
+
     # -- questions and events ----------------------------------------------------
 
     def questions(self, with_history: bool = False) -> DataFrame:

@@ -22,6 +22,8 @@ from merchlight.sources import csv, sinks
 from merchlight.streaming import alerts, stock
 
 QUERIES: dict[str, Callable[[SalesModel], DataFrame]] = {}
+#: Newest rows that a comparison of two periods of 30 looks at.
+SIDES = 61
 
 
 def query(fn: Callable[[SalesModel], DataFrame]):
@@ -116,7 +118,7 @@ def profit_lines(m):
 
 @query
 def trailing_daily(m):
-    daily = trend.trailing_rows(m.daily_totals(), 30)
+    daily = trend.trailing_rows(m.daily_totals(last_rows=30), 30)
     return daily.select("date", "total_sales", money("revenue").alias("revenue"),
                         "inventory_level")
 
@@ -157,15 +159,15 @@ def sales_trend(m):
 
 @query
 def stored_sales_trend(m):
-    """The same trend from a stored fact: order totals written once by month, of
-    which the reader opens the months since the first day only."""
-    path = new_path(m.spark, "orders-by-month")
-    sinks.write_table(sinks.with_month(m.order_totals()), path, partition_by=["month"])
-    stored = m.spark.read.parquet(path)
+    """The same trend from a stored fact, order totals by month: a first call writes all
+    months, later ones those that changed; the reader opens the months since the first
+    day only."""
+    table = m.stored_orders()
+    m.refresh_orders(table)
     first = m.spark.range(1).select(
-        F.date_format(F.date_sub(m.as_of(), 90), "yyyy-MM").alias("m")).scalar()
-    recent = kpi.sales_trend(stored.filter(F.col("month").cast("string") >= first), 90,
-                             m.as_of())
+        F.date_format(F.date_sub(m.as_of(), 90), "yyyy-MM").alias("m")).first()["m"]
+    months = [r["month"] for r in table.manifest() if r["month"] >= first]
+    recent = kpi.sales_trend(table.read(months), 90, m.as_of())
     return recent.withColumn("revenue", money("revenue"))
 
 
@@ -205,12 +207,12 @@ def dataset_stats(m):
 
 @query
 def kpi_cards(m):
-    return _cards(kpi.kpi_cards(m.daily_metrics()))
+    return _cards(kpi.kpi_cards(m.daily_metrics(last_rows=SIDES)))
 
 
 @query
 def kpi_cards_by_region(m):
-    return _cards(kpi.kpi_cards(m.region_metrics(), ["region"]))
+    return _cards(kpi.kpi_cards(m.region_metrics(last_rows=SIDES), ["region"]))
 
 
 def _cards(df):
@@ -227,12 +229,12 @@ def _period(df):
 
 @query
 def period_over_period(m):
-    return _period(trend.period_over_period(m.daily_totals(), "total_sales"))
+    return _period(trend.period_over_period(m.daily_totals(last_rows=SIDES), "total_sales"))
 
 
 @query
 def period_over_period_by_region(m):
-    return _period(trend.period_over_period(m.region_daily(), "revenue",
+    return _period(trend.period_over_period(m.region_daily(last_rows=SIDES), "revenue",
                                             keys=["region"]))
 
 
@@ -247,13 +249,13 @@ def period_over_period_short(m):
 
 @query
 def sales_drop(m):
-    drop = trend.sales_drop(m.daily_totals())
+    drop = trend.sales_drop(m.daily_totals(last_rows=SIDES))
     return _period(drop).withColumns(rounded(4, "lost_revenue"))
 
 
 @query
 def sales_drop_by_region(m):
-    drop = trend.sales_drop(m.region_daily(), keys=["region"], threshold=-2.0)
+    drop = trend.sales_drop(m.region_daily(last_rows=SIDES), keys=["region"], threshold=-2.0)
     return _period(drop).withColumns(rounded(4, "lost_revenue"))
 
 
@@ -321,12 +323,12 @@ def _health(df):
 
 @query
 def inventory_health(m):
-    return _health(inventory.inventory_health(m.daily_totals()))
+    return _health(inventory.inventory_health(m.daily_totals(last_rows=30)))
 
 
 @query
 def inventory_health_by_region(m):
-    return _health(inventory.inventory_health(m.region_daily(), keys=["region"]))
+    return _health(inventory.inventory_health(m.region_daily(last_rows=30), keys=["region"]))
 
 
 # -- customers ----------------------------------------------------------------------
@@ -492,13 +494,14 @@ def _forecast(df):
 
 @query
 def moving_average_forecast(m):
-    return _forecast(forecast.moving_average_forecast(m.daily_totals(), "total_sales"))
+    return _forecast(forecast.moving_average_forecast(
+        m.daily_totals(last_rows=30), "total_sales"))
 
 
 @query
 def moving_average_forecast_by_region(m):
     return _forecast(forecast.moving_average_forecast(
-        m.region_daily(), "total_sales", keys=["region"]))
+        m.region_daily(last_rows=30), "total_sales", keys=["region"]))
 
 
 @query
@@ -548,14 +551,14 @@ def filled_days(m):
 @query
 def forecast_delta(m):
     """A flat forecast from 90 rows against the last 30 rows."""
-    daily = m.daily_totals()
+    daily = m.daily_totals(last_rows=90)
     ahead = forecast.moving_average_forecast(daily, "total_sales", window=90)
     return _delta(forecast.forecast_vs_actual(ahead, daily, "total_sales"))
 
 
 @query
 def forecast_delta_by_region(m):
-    daily, keys = m.region_daily(), ["region"]
+    daily, keys = m.region_daily(last_rows=90), ["region"]
     ahead = forecast.moving_average_forecast(daily, "total_sales", keys=keys, window=90)
     return _delta(forecast.forecast_vs_actual(ahead, daily, "total_sales", keys=keys))
 
@@ -605,18 +608,18 @@ def _flat(df):
 
 @query
 def recommendations(m):
-    return _flat(advise.recommendations(kpi.business_snapshot(m.daily_metrics())))
+    return _flat(advise.recommendations(kpi.business_snapshot(m.daily_metrics(last_rows=SIDES))))
 
 
 @query
 def recommendations_by_region(m):
-    state = kpi.business_snapshot(m.region_metrics(), ["region"])
+    state = kpi.business_snapshot(m.region_metrics(last_rows=SIDES), ["region"])
     return _flat(advise.recommendations(state, ["region"]))
 
 
 @query
 def action_plan(m):
-    plan = advise.action_plan(kpi.business_snapshot(m.daily_metrics()))
+    plan = advise.action_plan(kpi.business_snapshot(m.daily_metrics(last_rows=SIDES)))
     return plan.withColumns(rounded(4, "measure"))
 
 
@@ -624,7 +627,7 @@ def action_plan(m):
 def all_recommendations(m):
     segments = customers.rfm_segments(m.order_totals(), m.as_of())
     return _flat(advise.all_recommendations(
-        advise.recommendations(kpi.business_snapshot(m.daily_metrics())),
+        advise.recommendations(kpi.business_snapshot(m.daily_metrics(last_rows=SIDES))),
         advise.restock_advice(inventory.restock_list(_position(m))),
         advise.pricing_advice(advise.pricing_suggestions(m.product_totals())),
         advise.retention_advice(advise.retention_actions(segments))))

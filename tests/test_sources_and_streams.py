@@ -194,3 +194,41 @@ def test_large_csv_files_are_split_without_quoted_line_breaks(spark, tmp_path):
     finally:
         for n, value in before.items():
             spark.conf.set(n, value)
+
+
+def test_last_rows_read_the_needed_headers_only(spark, tables):
+    m = SalesModel(spark, tables)
+    every = {(r.date, r.total_sales) for r in m.daily_totals().collect()}
+    newest = sorted(every, reverse=True)
+    for n in (1, 30, 61, 10_000):
+        got = {(r.date, r.total_sales) for r in m.daily_totals(last_rows=n).collect()}
+        assert got <= every and set(newest[:n]) <= got
+    since = newest[60][0]
+    plan = m.daily_totals(since=since)._jdf.queryExecution().executedPlan().toString()
+    assert f"GreaterThanOrEqual(o_orderdate,{since}T00:00)" in plan
+    by_region = m.region_daily()
+    want = {}
+    for r in by_region.collect():
+        want.setdefault(r.region, []).append((r.date, r.total_sales))
+    got = {}
+    for r in m.region_daily(last_rows=30).collect():
+        got.setdefault(r.region, []).append((r.date, r.total_sales))
+    assert set(got) == set(want)
+    for region, rows in want.items():
+        assert sorted(got[region], reverse=True)[:30] == sorted(rows, reverse=True)[:30]
+
+
+def test_last_rows_go_back_past_days_without_lines(spark, tables, tmp_path):
+    import shutil
+    root = tmp_path / "t"
+    root.mkdir()
+    for name in ("orders", "part", "customer", "nation", "region"):
+        shutil.copyfile(f"{tables}/{name}.parquet", root / f"{name}.parquet")
+    recent = spark.read.parquet(f"{tables}/orders.parquet").where("o_orderdate >= '2000-01-01'")
+    lines = spark.read.parquet(f"{tables}/lineitem.parquet").join(
+        recent, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
+    lines.coalesce(1).write.parquet(str(root / "lineitem.parquet"))
+    m = SalesModel(spark, str(root))
+    every = sorted(r.date for r in m.daily_totals().collect())
+    got = sorted(r.date for r in m.daily_totals(last_rows=20).collect())
+    assert got[-20:] == every[-20:] and every[-1] < dt.date(2000, 1, 1)

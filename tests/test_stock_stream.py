@@ -181,3 +181,34 @@ def test_totals_are_updated_by_batch(spark, tmp_path):
     assert got == {0: (1, 2.0), 1: (1, 2.0), 2: (1, 2.0), 3: (2, 4.0), 4: (2, 4.0),
                    5: (1, 2.0), 6: (1, 2.0), 7: (1, 2.0)}
     assert table.read().where(F.col("month") != "2024-01").count() == 0
+
+
+def test_stored_orders_write_changed_months_only(spark, tables, tmp_path):
+    import shutil
+
+    from merchlight.plans.model import SalesModel
+    root = tmp_path / "tables"
+    shutil.copytree(tables, root)
+    (root / "orders.parquet").chmod(0o644)
+    m = SalesModel(spark, str(root))
+    table = m.stored_orders(str(tmp_path / "fact"))
+    first = m.refresh_orders(table)
+    want = lambda: sorted(map(tuple, m.order_totals().select(
+        "order_id", "customer_id", "date", "sale_rows", "quantity", "revenue").collect()))
+    got = lambda: sorted(tuple(r)[:6] for r in table.read().collect())
+    assert len(first) > 50 and got() == want() and table.versions() == [0]
+    assert m.refresh_orders(table) == [] and table.versions() == [0]
+    # one order moves to another day of its month, and all orders of one month go
+    orders = spark.read.parquet(f"{tables}/orders.parquet")
+    row = orders.where("o_orderdate >= '1997-05-01' AND o_orderdate < '1997-05-20'").first()
+    changed = orders.where("o_orderdate < '1996-02-01' OR o_orderdate >= '1996-03-01'").withColumn(
+        "o_orderdate", F.when(F.col("o_orderkey") == row["o_orderkey"],
+                              F.expr("o_orderdate + INTERVAL 3 DAY")).otherwise(F.col("o_orderdate")))
+    changed.coalesce(1).write.parquet(str(tmp_path / "new"))
+    file = next((tmp_path / "new").glob("part-*.parquet"))
+    shutil.copyfile(file, root / "orders.parquet")
+    spark.catalog.clearCache()
+    m = SalesModel(spark, str(root))
+    assert m.refresh_orders(table) == ["1997-05"] and table.versions() == [0, 1]
+    assert got() == want()
+    assert "1996-02" not in {r["month"] for r in table.manifest()}
