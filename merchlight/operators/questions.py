@@ -18,6 +18,10 @@ INTENT_RULES = [
 ]
 GENERAL = "general"
 
+#: The facts that an answer of each intent rests on.
+FACTS = {"drop": {"snapshot", "correlation"}, "forecast": {"forecast"},
+         "inventory": {"snapshot"}, "recommend": {"snapshot"}, GENERAL: set()}
+
 # Fixed value: the confidence reported with every answer.
 CONFIDENCE = 0.85
 
@@ -38,19 +42,34 @@ def classify_intent(questions: DataFrame, rules=INTENT_RULES) -> DataFrame:
     return questions.withColumn("intent", intent_of(F.col("question"), rules))
 
 
-def answer_questions(questions: DataFrame, snapshot: DataFrame, forecast: DataFrame,
-                     correlation: DataFrame, rules=INTENT_RULES) -> DataFrame:
+def intents_asked(questions: DataFrame, rules=INTENT_RULES) -> set[str]:
+    """The intents that occur, at most one more than there are rules."""
+    return {r["intent"] for r in classify_intent(questions, rules).select("intent")
+            .distinct().collect()}
+
+
+def answer_questions(questions: DataFrame, snapshot: DataFrame | None = None,
+                     forecast: DataFrame | None = None, correlation: DataFrame | None = None,
+                     rules=INTENT_RULES) -> DataFrame:
     """An answer, the measure it rests on, its sources and confidence, per question.
 
-    ``snapshot``, ``forecast`` (means over the horizon) and ``correlation`` are one
-    row each and enter as scalar subqueries: the questions are only mapped.
+    ``snapshot``, ``forecast`` (means over the horizon, of any method) and
+    ``correlation`` are one row each and enter as scalar subqueries: the questions are
+    only mapped. A fact that no intent asked needs may be left out (``FACTS``); where it
+    was needed, the answer is null.
     """
-    state = snapshot.select(F.struct(
-        "change_pct", "is_drop", "lost_revenue", "days_of_supply",
-        F.array_join(F.transform(F.slice("top_categories", 1, 2), lambda c: c["name"]),
-                     ", ").alias("best"))).scalar()
-    ahead = forecast.select(F.struct("forecast_mean", "lower_mean", "upper_mean")).scalar()
-    corr = correlation.select("correlation").scalar()
+    state, ahead, corr = (F.lit(None).cast(kind) for kind in (
+        "struct<change_pct:double,is_drop:boolean,lost_revenue:double,days_of_supply:double,"
+        "best:string>", "struct<forecast_mean:double,lower_mean:double,upper_mean:double>", "double"))
+    if snapshot is not None:
+        state = snapshot.select(F.struct(
+            "change_pct", "is_drop", "lost_revenue", "days_of_supply",
+            F.array_join(F.transform(F.slice("top_categories", 1, 2), lambda c: c["name"]),
+                         ", ").alias("best"))).scalar()
+    if forecast is not None:
+        ahead = forecast.select(F.struct("forecast_mean", "lower_mean", "upper_mean")).scalar()
+    if correlation is not None:
+        corr = correlation.select("correlation").scalar()
 
     asked = classify_intent(questions, rules)
     intent = F.col("intent")

@@ -27,6 +27,13 @@ STOCK_EPOCH = "1995-01-01"
 REORDER_LEVEL = 10
 
 
+#: Derived questions: what stands before and after a product's name.
+PRODUCT_QUESTIONS = [
+    ("Why does ", " sell less?"), ("Can you PREDICT ", " for the next weeks?"),
+    ("Does our Inventory of ", " last?"), ("What would you recommend for ", "?"),
+    ("Tell me about ", "."), ("Will ", " Decrease further, and what of its future?")]
+
+
 class SalesModel:
     """Reads ``<root>/<table>.parquet`` and derives the sales facts.
 
@@ -325,6 +332,15 @@ class SalesModel:
             said = said.join(before, ["conv_id", "turn"], "left")
         return said.drop("conv_id", "turn")
 
+    def product_questions(self) -> DataFrame:
+        """A question about every product, worded by a fixed rule on its id."""
+        name = F.col("product_name")
+        texts = [F.concat(F.lit(a), name, F.lit(b)) for a, b in PRODUCT_QUESTIONS]
+        return self.products().select(
+            F.concat(F.lit("product-"), "product_id").alias("question_id"),
+            F.get(F.array(*texts), F.pmod("product_id", F.lit(len(texts))).cast("int"))
+            .alias("question"))
+
     def event_stream(self) -> DataFrame:
         """The event files as a stream."""
         schema = self.table("events").schema

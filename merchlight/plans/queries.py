@@ -642,19 +642,58 @@ def intent_counts(m):
     return asked.groupBy("intent").agg(F.count("*").alias("n_questions"))
 
 
-@query
-def answers(m):
-    daily = stage(m.daily_metrics(), "daily")     # read by four operators
-    ahead = forecast.moving_average_forecast(daily, "total_sales")
-    answered = questions.answer_questions(
-        m.questions(), kpi.business_snapshot(daily),
-        forecast.forecast_vs_actual(ahead, daily, "total_sales"),
-        trend.metric_correlation(daily, "total_sales", "inventory_level"))
+def _answered(m, asked, method="moving_average"):
+    """Answers to questions; a fact is computed only if an intent that occurs needs it."""
+    needed = set().union(*(questions.FACTS[i] for i in questions.intents_asked(asked)))
+    facts = {}
+    if needed:
+        daily = stage(m.daily_metrics(), "daily")     # read by all facts
+        if "snapshot" in needed:
+            facts["snapshot"] = kpi.business_snapshot(daily)
+        if "correlation" in needed:
+            facts["correlation"] = trend.metric_correlation(daily, "total_sales",
+                                                            "inventory_level")
+        if "forecast" in needed:
+            ahead = forecast.holt_winters(daily, "total_sales") if method == "holt_winters" \
+                else forecast.moving_average_forecast(daily, "total_sales")
+            facts["forecast"] = forecast.forecast_vs_actual(ahead, daily, "total_sales")
+    answered = questions.answer_questions(asked, **facts)
     return answered.select("question_id", "intent", "answer", "measure", "confidence",
                            F.array_join("sources", "; ").alias("sources")).withColumns(
                                rounded(4, "measure"))
 
 
+@query
+def product_intent_counts(m):
+    asked = questions.classify_intent(m.product_questions())
+    return asked.groupBy("intent").agg(F.count("*").alias("n_questions"))
+
+
+@query
+def answers(m):
+    return _answered(m, m.questions())
+
+
+@query
+def product_answers(m):
+    """Answers to questions about every product, which reach all intents."""
+    return _answered(m, m.product_questions())
+
+
+@query
+def fitted_answers(m):
+    """The same with the fitted forecast."""
+    return _answered(m, m.product_questions(), "holt_winters")
+
+
+@query
+def fitted_delta(m):
+    """The fitted forecast of every region against its last 30 rows."""
+    daily, keys = stage(m.region_daily(), "region-daily"), ["region"]
+    ahead = forecast.holt_winters(daily, "total_sales", keys=keys)
+    return _delta(forecast.forecast_vs_actual(ahead, daily, "total_sales", keys=keys))
+
+
 @query
 def prompt_context(m):
     context = kpi.business_context(m.daily_totals(), m.product_totals(), m.as_of())

@@ -679,6 +679,21 @@ SELECT 'retention', 'Keep ' || segment || ' customer',
 
 # -- questions ------------------------------------------------------------------------------------------
 
+# The same over a question about every product, worded by its id.
+BLOCKS["product_asked"] = """SELECT 'product-' || p_partkey AS question_id, CASE p_partkey % 6
+    WHEN 0 THEN 'Why does ' || p_name || ' sell less?'
+    WHEN 1 THEN 'Can you PREDICT ' || p_name || ' for the next weeks?'
+    WHEN 2 THEN 'Does our Inventory of ' || p_name || ' last?'
+    WHEN 3 THEN 'What would you recommend for ' || p_name || '?'
+    WHEN 4 THEN 'Tell me about ' || p_name || '.'
+    ELSE 'Will ' || p_name || ' Decrease further, and what of its future?' END AS question
+  FROM part"""
+BLOCKS["product_intent"] = BLOCKS["intent"].replace("FROM asked", "FROM product_asked")
+NEEDS["product_intent"] = ["product_asked"]
+
+ORACLES["product_intent_counts"] = _with("product_intent", """
+SELECT intent, count(*) AS n_questions FROM product_intent GROUP BY intent""")
+
 ORACLES["intent_counts"] = _with("intent", """
 SELECT intent, count(*) AS n_questions FROM intent GROUP BY intent""")
 
@@ -714,6 +729,10 @@ SELECT question_id, intent, CASE intent
     ELSE '' END AS sources
 FROM intent, state, names, corr""")
 
+ORACLES["product_answers"] = ORACLES["answers"].replace(
+    ORACLES["answers"][:ORACLES["answers"].index(", names AS")],
+    _with("product_intent state best", "")).replace("FROM intent, state", "FROM product_intent, state")
+
 ORACLES["prompt_context"] = _with("asked total product_total", """
 , names AS (SELECT string_agg(product_name, ', ' ORDER BY revenue DESC, product_id) AS names
   FROM (SELECT * FROM product_total ORDER BY revenue DESC, product_id LIMIT 3))

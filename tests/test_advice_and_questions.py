@@ -88,3 +88,37 @@ def test_prompts(spark):
     assert '"total_revenue":"12.50"' in got[1] and '"top_products":"rod"' in got[1]
     assert "\nEarlier" in got[1] and "Earlier" not in got[2]
     assert got[2].endswith("And?")
+
+
+def test_product_questions_reach_all_intents_with_the_fitted_forecast(spark, tables):
+    from merchlight.operators import forecast, questions
+    from merchlight.plans.model import SalesModel
+    from merchlight.plans.queries import run
+    m = SalesModel(spark, tables)
+    got = run("fitted_answers", spark, tables).collect()
+    assert {r["intent"] for r in got} == {"drop", "forecast", "inventory", "recommend", "general"}
+    assert len(got) == m.products().count() and all(r["answer"] for r in got)
+    ahead = [r["yhat"] for r in forecast.holt_winters(m.daily_metrics(), "total_sales").collect()]
+    for r in got:
+        if r["intent"] == "forecast":
+            assert r["measure"] == round(sum(ahead) / len(ahead), 4)
+            assert f"{sum(ahead) / len(ahead):.0f}" in r["answer"]
+    asked = m.product_questions()
+    assert questions.intents_asked(asked) == {r["intent"] for r in got}
+    none = questions.answer_questions(asked)
+    assert none.where("answer IS NOT NULL AND intent <> 'general'").count() == 0
+    assert none.where("answer IS NULL AND intent = 'general'").count() == 0
+
+
+def test_fitted_delta_uses_the_fitted_forecast(spark, tables):
+    from merchlight.operators import forecast
+    from merchlight.plans.model import SalesModel
+    from merchlight.plans.queries import run
+    m = SalesModel(spark, tables)
+    ahead = {}
+    for r in forecast.holt_winters(m.region_daily(), "total_sales", keys=["region"]).collect():
+        ahead.setdefault(r["region"], []).append(r["yhat"])
+    for r in run("fitted_delta", spark, tables).collect():
+        mean = sum(ahead[r["region"]]) / 30
+        assert abs(r["forecast_mean"] - mean) < 1e-3
+        assert abs(r["delta"] - (mean - r["actual_mean"])) < 1e-3

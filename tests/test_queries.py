@@ -10,7 +10,8 @@ from tests import compare
 SQL = {name: sql for name, sql in driver.oracle_sql().items() if name in QUERIES}
 WITHOUT_SQL = {"iforest_daily", "iforest_revenue", "iforest_region", "holt_winters_daily",
                "holt_winters_region", "seasonal_forecast", "revenue_forecast",
-               "demand_holt_winters", "trend_change_points", "holt_winters_errors"}
+               "demand_holt_winters", "trend_change_points", "holt_winters_errors",
+               "fitted_answers", "fitted_delta"}
 
 
 @pytest.fixture(scope="session")
