@@ -12,9 +12,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from merchlight.functions.measures import exact_total, ratio, ten_thousandths
+from merchlight.functions.running import running_before
 from merchlight.session import shared_dir, stage
 from merchlight.sources.sinks import with_month
 from merchlight.sources.versioned import VersionedTable
@@ -25,6 +26,8 @@ CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 CATEGORY_COLUMNS = [f"{c.lower()}_sales" for c in CATEGORIES]
 STOCK_EPOCH = "1995-01-01"
 REORDER_LEVEL = 10
+# A word of a turn.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Derived questions: what stands before and after a product's name.
@@ -314,22 +317,18 @@ class SalesModel:
 
     # -- questions and events ----------------------------------------------------
 
-    def questions(self, with_history: bool = False) -> DataFrame:
+    def questions(self, history_tokens: int | None = None) -> DataFrame:
         """Questions asked: every user turn of the conversations.
 
-        ``history`` holds the texts of the turn before, in order of the text, found by
-        an equi-join on conversation and turn, so a long conversation is not gathered
-        in one task; copies of a turn count once on that side, so they do not pair up.
+        ``history_tokens`` adds ``history``: the turns before, oldest first, as many of
+        the newest as hold so many tokens together (see ``chat_history``).
         """
         turns = self.table("conversations")
         said = turns.filter(F.col("role") == "user").select(
             "conv_id", "turn", F.concat_ws("-", F.lit("turn"), "conv_id", "turn")
             .alias("question_id"), F.col("text").alias("question"))
-        if with_history:
-            before = turns.filter(F.col("text").isNotNull()) \
-                .groupBy("conv_id", (F.col("turn") + 1).alias("turn")) \
-                .agg(F.array_join(F.array_sort(F.collect_set("text")), " / ").alias("history"))
-            said = said.join(before, ["conv_id", "turn"], "left")
+        if history_tokens is not None:
+            said = said.join(chat_history(turns, history_tokens), ["conv_id", "turn"], "left")
         return said.drop("conv_id", "turn")
 
     def product_questions(self) -> DataFrame:
@@ -348,6 +347,32 @@ class SalesModel:
                    .option("pathGlobFilter", "events.parquet").parquet(self.root)
 
 
+def chat_history(turns: DataFrame, tokens: int) -> DataFrame:
+    """The history of every turn of (conv_id, turn, role, text): conv_id, turn, history.
+
+    Copies of a turn count once; different texts of one turn stand in order of role and
+    text. A turn is its lines ``role: text`` and counts a token for each word of them and
+    one more; turns without text are left out, also as history, and a first turn has none.
+    With the running total of tokens, the history is a range frame, and since it
+    reaches back no further than ``tokens``, a conversation is cut into blocks of that
+    many: a turn meets the turns of its own block and the one before, whatever the
+    length of the conversation.
+    """
+    line = F.concat_ws(": ", "role", "text")
+    whole = turns.where("text IS NOT NULL").groupBy("conv_id", "turn").agg(
+        F.array_sort(F.collect_set(line)).alias("_lines"))
+    size = F.size(F.regexp_extract_all(F.array_join("_lines", " "), F.lit(WORD), 0))
+    whole = whole.select("conv_id", "turn", F.array_join("_lines", "\n").alias("_text"),
+                         (size + 1).cast("long").alias("_size"))
+    placed = running_before(whole, ["conv_id"], "turn", "_size", "_c")
+    block = F.floor(F.col("_c") / tokens)
+    shown = placed.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_next")) \
+        .withColumn("_block", block + F.col("_next"))
+    before = Window.partitionBy("conv_id", "_block").orderBy("_c").rangeBetween(-tokens, -1)
+    return shown.withColumn("history", F.array_join(F.collect_list("_text").over(before), "\n")) \
+        .where((F.col("_next") == 0) & (F.col("history") != "")).select("conv_id", "turn", "history")
+
+
 def _by_day(orders: DataFrame, *keys: str) -> DataFrame:
     daily = orders.groupBy(*keys, "date").agg(
         F.sum("quantity").alias("total_sales"), F.sum("revenue").alias("revenue"),

@@ -697,7 +697,7 @@ def fitted_delta(m):
 @query
 def prompt_context(m):
     context = kpi.business_context(m.daily_totals(), m.product_totals(), m.as_of())
-    prompts = questions.build_prompts(m.questions(with_history=True), context)
+    prompts = questions.build_prompts(m.questions(history_tokens=500), context)
     return prompts.select("question_id", "prompt")
 
 

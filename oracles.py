@@ -166,13 +166,17 @@ BLOCKS = {
         FROM wide_rank)""",
     "best": """SELECT *, row_number() OVER (ORDER BY sales DESC, category_order) AS rank
       FROM long WHERE date = (SELECT max(date) FROM long)""",
+    "spoken": """SELECT conv_id, turn, string_agg(DISTINCT role || ': ' || text, chr(10)
+          ORDER BY role || ': ' || text) AS lines
+        FROM conversations WHERE text IS NOT NULL GROUP BY conv_id, turn""",
+    "counted": r"""SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY turn) - size AS c
+        FROM (SELECT *, len(regexp_extract_all(lines, '[^\x20\x09-\x0D]+')) + 1 AS size
+          FROM spoken)""",
+    "told": """SELECT conv_id, turn, string_agg(lines, chr(10)) OVER (PARTITION BY conv_id
+          ORDER BY c RANGE BETWEEN 500 PRECEDING AND 1 PRECEDING) AS history FROM counted""",
     "asked": """SELECT 'turn-' || a.conv_id || '-' || a.turn AS question_id,
-        b.text AS history, a.text AS question
-      FROM conversations a LEFT JOIN (
-          SELECT conv_id, turn, string_agg(DISTINCT text, ' / ' ORDER BY text) AS text
-          FROM conversations WHERE text IS NOT NULL GROUP BY conv_id, turn) b
-        ON a.conv_id = b.conv_id AND a.turn = b.turn + 1
-      WHERE a.role = 'user'""",
+        told.history, a.text AS question
+      FROM conversations a LEFT JOIN told USING (conv_id, turn) WHERE a.role = 'user'""",
     "intent": """SELECT *, CASE
           WHEN contains(lower(question), 'drop') OR contains(lower(question), 'decrease')
             OR contains(lower(question), 'why') THEN 'drop'
@@ -187,6 +191,7 @@ BLOCKS = {
 }
 
 NEEDS = {
+    "counted": ["spoken"], "told": ["counted"], "asked": ["told"], "intent": ["asked"],
     "sale": ["line", "head"], "daily": ["sale"], "region_day": ["sale", "buyer"],
     "product_day": ["sale"], "product_total": ["line", "item"], "wide": ["sale", "item"],
     "long": ["wide"], "demand": ["sale", "today"], "position": ["item", "stock", "demand"],
@@ -194,7 +199,7 @@ NEEDS = {
     "segment": ["rfm", "cut"], "retention": ["segment"], "price": ["product_total"],
     "pricing": ["price"], "total": ["sale", "today"], "daily_z": ["daily"],
     "product_z": ["product_day"], "wide_rank": ["wide"], "state": ["wide_rank"],
-    "best": ["long"], "intent": ["asked"], "region_wide": ["sale", "buyer"],
+    "best": ["long"], "region_wide": ["sale", "buyer"],
     "region_best": ["sale", "buyer", "item"], "region_state": ["region_wide"],
 }
 

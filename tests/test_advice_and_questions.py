@@ -122,3 +122,54 @@ def test_fitted_delta_uses_the_fitted_forecast(spark, tables):
         mean = sum(ahead[r["region"]]) / 30
         assert abs(r["forecast_mean"] - mean) < 1e-3
         assert abs(r["delta"] - (mean - r["actual_mean"])) < 1e-3
+
+
+def told(turns, budget):
+    """Every turn's history by a plain walk back."""
+    lines = {}
+    for conv, turn, role, text in turns:
+        if text is not None:
+            lines.setdefault((conv, turn), set()).add(f"{role}: {text}")
+    by = {}
+    for (conv, turn), found in lines.items():
+        own = sorted(found)
+        by.setdefault(conv, []).append((turn, "\n".join(own), sum(len(x.split()) for x in own) + 1))
+    out = {}
+    for conv, rows in by.items():
+        rows.sort()
+        for i, (turn, *_) in enumerate(rows):
+            kept, left = [], budget
+            for _, text, size in reversed(rows[:i]):
+                left -= size
+                if left < 0:
+                    break
+                kept.append(text)
+            if kept:
+                out[conv, turn] = "\n".join(reversed(kept))
+    return out
+
+
+@pytest.mark.parametrize("budget", [3, 25, 400])
+def test_history_of_long_conversations_over_many_tasks(spark, budget):
+    import random
+
+    from merchlight.plans.model import chat_history
+    draw = random.Random(2)
+    turns = [(1, t, "ua"[t % 2], " ".join("w" * draw.randint(0, 9))) for t in range(900)]
+    turns += [(c, t, "u", f"c{c} t{t}") for c in range(2, 40) for t in range(draw.randint(0, 6))]
+    turns += [(2, 0, "u", "c2 t0"), (2, 0, "a", "another"), (1, 7, "u", None), (3, 1, "u", "x " * 500)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r["history"] for r in chat_history(df.repartition(6), budget).collect()}
+    assert got == told(turns, budget)
+
+
+def test_running_totals_do_not_depend_on_tasks(spark):
+    from merchlight.functions.running import running_before
+    rows = [("a" if i % 3 else None, i, i % 5 if i % 4 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, i long, v long").repartition(7)
+    got = {(r["k"], r["i"]): r["t"] for r in running_before(df, ["k"], "i", "v", "t").collect()}
+    sums, want = {}, {}
+    for k, i, v in rows:
+        want[k, i] = sums.get(k, 0)
+        sums[k] = sums.get(k, 0) + (v or 0)
+    assert got == want
