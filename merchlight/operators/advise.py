@@ -94,15 +94,16 @@ def pricing_suggestions(products: DataFrame, high_share: float = 0.8,
     sold are few (this one wins when both hold).
 
     Cut points are exact quantiles over all products: at or above ``high_share``
-    of unit profit, at or below ``slow_share`` of units.
+    of unit profit, at or below ``slow_share`` of units. A product that never sold has 0
+    units and no unit revenue: a slow mover without a suggested price.
     """
     # profit follows from the cost ratio, so its rank is that of the unit price
     measured = products.select(
         "product_id", "product_name", "category", F.col("quantity").alias("units"),
         ratio("revenue", "quantity").alias("unit_revenue"))
     stored = stage(measured, "pricing")
-    cuts_high = exact_quantiles(stored, ["unit_revenue"], [high_share])["unit_revenue"][0]
-    cuts_slow = exact_quantiles(stored, ["units"], [slow_share])["units"][0]
+    cuts = exact_quantiles(stored, ["unit_revenue", "units"], [high_share, slow_share])
+    cuts_high, cuts_slow = cuts["unit_revenue"][0], cuts["units"][1]
     slow = F.col("units") <= F.lit(cuts_slow)
     high = F.col("unit_revenue") >= F.lit(cuts_high)
     step = F.when(slow, PRICE_CUT).when(high, PRICE_RAISE)

@@ -121,21 +121,54 @@ class SalesModel:
             "date", "order_id", "product_id", "product_name", "category", "customer_id",
             "region", "quantity", "unit_price", "revenue")
 
+    def unmatched_lines(self) -> DataFrame:
+        """Why sale lines are no row of ``sales_fact``: reason, lines and their revenue.
+
+        The joins of the fact are inner ones; a line without header, product or buyer's
+        region is counted here, by the first of these that it lacks.
+        """
+        keys = {"order": (self.headers().select("order_id", "customer_id"), "order_id"),
+                "product": (self.products().select("product_id"), "product_id"),
+                "region": (self.customer_regions().select("customer_id"), "customer_id")}
+        lines = self.lines()
+        for name, (table, key) in keys.items():
+            lines = lines.join(table.withColumn(f"has_{name}", F.lit(True)), key, "left")
+        missing = F.when(F.col("has_order").isNull(), "order") \
+            .when(F.col("has_product").isNull(), "product") \
+            .when(F.col("has_region").isNull(), "region").otherwise("none")
+        return lines.groupBy(missing.alias("missing")).agg(
+            F.count("*").alias("sale_rows"), exact_total("revenue_e4").alias("revenue"))
+
     # -- added-up grains ---------------------------------------------------------
 
     def order_totals(self, last_days: int | None = None, since=None) -> DataFrame:
         """One row per order: lines are added up by order before the header join,
-        which then runs on the partitioning the aggregate left behind. With ``since``
+        which then runs on the partitioning the aggregate left behind. With bounds
         the few headers come first, and other orders' lines are not added up."""
-        if since is not None:
-            dated = self.lines().join(self.headers(since=since), "order_id")
+        if since is not None or last_days is not None:
+            dated = self.lines().join(self.headers(last_days, since), "order_id")
             return dated.groupBy("order_id", "customer_id", "date").agg(
                 F.count("*").alias("sale_rows"), F.sum("quantity").alias("quantity"),
                 exact_total("revenue_e4").alias("revenue"))
         totals = self.lines().groupBy("order_id").agg(
             F.count("*").alias("sale_rows"), F.sum("quantity").alias("quantity"),
             exact_total("revenue_e4").alias("revenue"))
-        return totals.join(self.headers(last_days), "order_id")
+        return totals.join(self.headers(), "order_id")
+
+    def both_totals(self) -> tuple[DataFrame, DataFrame]:
+        """``daily_totals`` and ``product_totals`` from one scan of the lines.
+
+        Lines are added up by order and by product side by side, each in its map tasks
+        before the shuffle, and the sums are written once for both readers.
+        """
+        sums = stage(self.lines().groupingSets(
+            [["order_id"], ["product_id"]], "order_id", "product_id").agg(
+            F.grouping("order_id").alias("by_product"), F.count("*").alias("sale_rows"),
+            F.sum("quantity").alias("quantity"), exact_total("revenue_e4").alias("revenue")), "totals")
+        orders = sums.where("by_product = 0").drop("by_product", "product_id")
+        products = sums.where("by_product = 1").drop("by_product", "order_id")
+        return (self._daily(orders.join(self.headers(), "order_id")),
+                products.join(self.products(), "product_id"))
 
     def product_totals(self) -> DataFrame:
         """One row per sold product; order headers are not needed for it."""
@@ -144,6 +177,12 @@ class SalesModel:
             exact_total("revenue_e4").alias("revenue"))
         return totals.join(self.products(), "product_id")
 
+    def all_product_totals(self) -> DataFrame:
+        """One row per product, 0 for those that never sold."""
+        totals = self.product_totals().select("product_id", "sale_rows", "quantity", "revenue")
+        return self.products().join(totals, "product_id", "left").fillna(0, ["sale_rows", "quantity"]) \
+            .withColumn("revenue", F.coalesce("revenue", F.lit(0).cast("decimal(38,4)")))
+
     def region_totals(self) -> DataFrame:
         """Per customer first, so a dominant customer joins as one row."""
         per_customer = self.order_totals().groupBy("customer_id").agg(
@@ -180,7 +219,11 @@ class SalesModel:
         keeps at least that many newest ones."""
         if last_rows is not None:
             return self.last_rows(last_rows, lambda d: self.daily_totals(since=d))
-        daily = self.order_totals(last_days, since).groupBy("date").agg(
+        return self._daily(self.order_totals(last_days, since))
+
+    @staticmethod
+    def _daily(orders: DataFrame) -> DataFrame:
+        daily = orders.groupBy("date").agg(
             F.sum("sale_rows").alias("sale_rows"), F.count("*").alias("orders"),
             F.sum("quantity").alias("total_sales"), F.sum("quantity").alias("quantity"),
             F.sum("revenue").alias("revenue"))

@@ -47,6 +47,11 @@ def sales_fact(m):
     return m.sales_fact().withColumn("revenue", F.col("revenue").cast("double"))
 
 
+@query
+def unmatched_lines(m):
+    return m.unmatched_lines().withColumn("revenue", money("revenue"))
+
+
 @query
 def validate_sales(m):
     """The fact as raw text, coerced and checked; rows and revenue per outcome."""
@@ -138,13 +143,13 @@ def daily_wide(m):
 
 @query
 def kpi_summary(m):
-    return kpi.kpi_summary(m.daily_totals(), m.product_totals(), m.as_of())
+    return kpi.kpi_summary(*m.both_totals(), m.as_of())
 
 
 @query
 def business_context(m):
     """The one-row context, its best products as rows."""
-    context = kpi.business_context(m.daily_totals(), m.product_totals(), m.as_of())
+    context = kpi.business_context(*m.both_totals(), m.as_of())
     return context.withColumn("p", F.explode("top_products")).select(
         "total_revenue", "total_sales_orders", "recent_revenue", "previous_revenue",
         "revenue_change_pct", "recent_share_pct", "p.rank", "p.product_id", "p.name",
@@ -412,7 +417,7 @@ def inventory_anomalies(m):
 
 @query
 def pricing_suggestions(m):
-    prices = advise.pricing_suggestions(m.product_totals())
+    prices = advise.pricing_suggestions(m.all_product_totals())
     return prices.withColumns(rounded(4, "unit_revenue", "suggested_price"))
 
 
@@ -629,7 +634,7 @@ def all_recommendations(m):
     return _flat(advise.all_recommendations(
         advise.recommendations(kpi.business_snapshot(m.daily_metrics(last_rows=SIDES))),
         advise.restock_advice(inventory.restock_list(_position(m))),
-        advise.pricing_advice(advise.pricing_suggestions(m.product_totals())),
+        advise.pricing_advice(advise.pricing_suggestions(m.all_product_totals())),
         advise.retention_advice(advise.retention_actions(segments))))
 
 
@@ -696,7 +701,7 @@ def fitted_delta(m):
 
 @query
 def prompt_context(m):
-    context = kpi.business_context(m.daily_totals(), m.product_totals(), m.as_of())
+    context = kpi.business_context(*m.both_totals(), m.as_of())
     prompts = questions.build_prompts(m.questions(history_tokens=500), context)
     return prompts.select("question_id", "prompt")
 

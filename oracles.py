@@ -133,8 +133,9 @@ BLOCKS = {
         CASE WHEN monetary >= m_top AND segment <> 'Champions' THEN 'high'
           WHEN segment = 'At-Risk' THEN 'medium' ELSE 'low' END AS priority
       FROM segment""",
-    "price": """SELECT product_id, product_name, category, quantity AS units,
-        revenue::DOUBLE / quantity::DOUBLE AS unit_revenue FROM product_total""",
+    "price": """SELECT item.product_id, item.product_name, item.category,
+        coalesce(quantity, 0) AS units, revenue::DOUBLE / quantity::DOUBLE AS unit_revenue
+      FROM item LEFT JOIN product_total USING (product_id)""",
     "pricing": """SELECT price.*, CASE WHEN units <= slow THEN -10 ELSE 5 END
           AS price_change_pct,
         CASE WHEN units <= slow THEN 'slow_mover' ELSE 'high_margin' END AS reason,
@@ -290,6 +291,13 @@ SELECT date, order_id, product_id, product_name, category, customer_id, region,
   unit_price, revenue::DOUBLE AS revenue
 FROM sale JOIN buyer USING (customer_id) JOIN item USING (product_id)""")
 
+ORACLES["unmatched_lines"] = _with("line head item buyer", """
+SELECT CASE WHEN head.order_id IS NULL THEN 'order' WHEN item.product_id IS NULL THEN 'product'
+    WHEN buyer.customer_id IS NULL THEN 'region' ELSE 'none' END AS missing,
+  count(*) AS sale_rows, CAST(round(sum(revenue), 2) AS DOUBLE) AS revenue
+FROM line LEFT JOIN head USING (order_id) LEFT JOIN item USING (product_id)
+LEFT JOIN buyer USING (customer_id) GROUP BY 1""")
+
 ORACLES["validate_sales"] = _with("sale buyer item", """
 SELECT concat_ws(',', CASE WHEN quantity > 45 THEN 'quantity_above_limit' END,
     CASE WHEN date < DATE '1996-01-01' THEN 'date_before_start' END) AS failed,
