@@ -294,6 +294,12 @@ class SalesModel:
             .cast("int").alias("quantity_on_hand"),
             F.col("l_shipdate").cast("date").alias("last_updated"))
 
+    def new_customers_daily(self) -> DataFrame:
+        """Customers by the day of their first order."""
+        first = self.headers().where("customer_id IS NOT NULL AND date IS NOT NULL") \
+            .groupBy("customer_id").agg(F.min("date").alias("date"))
+        return first.groupBy("date").agg(F.count("*").alias("customers"))
+
     def in_transit(self) -> DataFrame:
         """Deliveries due after the reference day: by a fixed rule, the first lines of
         orders that ship later bring their quantity on that day."""

@@ -543,8 +543,8 @@ def demand_holt_winters(m):
 
 @query
 def trend_change_points(m):
-    """Where the trend of a region's revenue bends."""
-    return forecast.change_points(m.region_daily(), "revenue", keys=["region"])
+    """Where the trend of new customers a day bends."""
+    return forecast.change_points(m.new_customers_daily(), "customers")
 
 
 @query
