@@ -120,3 +120,28 @@ def test_shuffled_joins_split_hot_keys(spark, skewed, name):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("how", ["folders", "dependency"])
+def test_entry_works_without_the_training_part(tmp_path, how):
+    """Without its folders, or what it needs, the other queries are all there."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    skip = ("llm", "corpus_pipeline.py") if how == "folders" else ()
+    shutil.copytree(root, copy, ignore=lambda folder, names: [
+        n for n in names if n in (".git", "__pycache__", *skip)])
+    hide = "" if how == "folders" else (
+        "import sys\nclass Hide:\n    def find_spec(self, name, *more):\n"
+        "        if name.split('.')[0] == 'public_tokenizers':\n"
+        "            raise ModuleNotFoundError(name=name)\n"
+        "sys.meta_path.insert(0, Hide())\n")
+    code = hide + ("import __spark_entry__ as e\n"
+                   "print(sorted(e.queries()) == sorted(e.registered.QUERIES), "
+                   "set(e.oracle_sql()) <= set(e.queries()))")
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, text=True, capture_output=True,
+                          env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert done.stdout.strip() == "True True", done.stderr
