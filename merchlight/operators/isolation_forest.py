@@ -18,6 +18,8 @@ from pyspark.sql import Window as W
 from merchlight.functions.quantiles import exact_quantiles
 from merchlight.session import spread, stage
 
+#: Nodes of a forest, which the driver gathers and every worker holds (16 bytes each).
+MOST_NODES = 4_000_000
 NODE_SCHEMA = "tree int, node int, feature int, split double, size int"
 HASH_RANGE = 2_147_483_647
 
@@ -58,6 +60,8 @@ def _grow(rows: DataFrame, features, id_cols, total, trees, sample, seed) -> dic
     seed, tree and id is below four times the sample's share, and of these each tree
     takes the ``sample`` lowest hashes. A tree sees fewer only if there are fewer rows.
     """
+    if trees * 4 * sample > MOST_NODES:         # a tree has at most 4 * sample places
+        raise ValueError(f"trees * sample must stay below {MOST_NODES // 4}")
     keep = min(HASH_RANGE, HASH_RANGE * 4 * sample // total + 1)
     numbers = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)]
     row = F.xxhash64(F.lit(seed), *[F.col(c) for c in id_cols])

@@ -34,6 +34,11 @@ def test_union_fills_missing_columns(spark):
     assert [(r.alert, r.days, r.actual) for r in got] == [("x", 1, None), ("y", None, 2.0)]
 
 
+def test_forest_of_unbounded_size_is_refused(series):
+    with pytest.raises(ValueError, match="trees"):
+        isolation_forest(series(wave()), ["total_sales"], ["date"], trees=20_000, sample=256)
+
+
 def test_forest_flags_and_repeats(series):
     daily = series(wave() + [5000])
     first = isolation_forest(daily, ["total_sales"], ["date"])

@@ -91,11 +91,8 @@ def test_state_is_one_value_a_product_and_bounded(spark, tmp_path):
     held = {}
 
     class Value:
-        def exists(self):
-            return "v" in held
-
         def get(self):
-            return held["v"]
+            return held.get("v")
 
         def update(self, v):
             held["v"] = v
@@ -111,7 +108,7 @@ def test_state_is_one_value_a_product_and_bounded(spark, tmp_path):
     keeper.state, keeper.handle = Value(), Handle()
     keeper.state.update((None, 0, False, [(d, 1, 2, -2, None, None, None, False, 0)
                                           for d in range(500)]))
-    out = next(keeper.handleExpiredTimer((1,), Clock(), None))
+    out = list(keeper.handleExpiredTimer((1,), Clock(), None))
     assert len(out) == 402                          # days 0 to 401 are closed
     kept = [d for d, *_ in held["v"][3]]
     assert min(kept) == 401 - stock.KEPT_DAYS + 1 and max(kept) == 499
