@@ -96,7 +96,7 @@ def test_query_on_skewed_tables(spark, skewed, name):
 
 
 @pytest.mark.parametrize("name", ["sales_fact", "zscore_products", "daily_wide",
-                                  "period_over_period_by_region"])
+                                  "moving_average_7_by_region"])
 def test_shuffled_joins_split_hot_keys(spark, skewed, name):
     """Without broadcasts the joins split the hot key, and results stay the same.
 
