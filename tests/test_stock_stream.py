@@ -122,6 +122,17 @@ def test_odd_rows_are_left_out(spark, tmp_path):
     assert {k: (r["units"], r["n_rows"], r["closed"]) for k, r in days.items()} == {(1, 0): (4, 1, False)}
 
 
+def test_days_are_those_of_the_given_times_in_any_zone(spark, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        rows = [(1, at(d, 23), "sale", 2, d) for d in range(20)]
+        _, days = run(spark, str(tmp_path / "m"), rows)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert {(d, r["units"], r["closed"]) for (_, d), r in days.items()} == {
+        (d, 2, d < 18) for d in range(20)}
+
+
 def test_grace_must_cover_the_delay(spark, tmp_path):
     with pytest.raises(ValueError):
         stock.stock_days(batches(spark, str(tmp_path / "m"), steady(1, [0])), delay=3, grace=2)
