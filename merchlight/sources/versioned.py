@@ -127,7 +127,8 @@ class VersionedTable:
         files = path(self.path).getFileSystem(context._jsc.hadoopConfiguration())
         for v in versions[:-keep]:
             files.delete(path(f"{self.path}/manifest/version={v}"), True)
-            files.delete(path(f"{self.path}/incoming/version={v}"), True)
+            for kind in ("version", "batch"):
+                files.delete(path(f"{self.path}/incoming/{kind}={v}"), True)
             folder = path(f"{self.path}/data/version={v}")
             if not files.exists(folder):
                 continue

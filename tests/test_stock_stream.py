@@ -115,6 +115,17 @@ def test_state_is_one_value_a_product_and_bounded(spark, tmp_path):
     assert held["timer"] == keeper.closes_at(402) - 1
 
 
+def test_old_versions_go_and_days_stay(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stock, "KEPT_VERSIONS", 2)
+    rows = steady(1, range(30))
+    query, table = stock.keep_stock(stock.stock_days(batches(
+        spark, str(tmp_path / "m"), *[rows[i:i + 10] for i in range(0, 30, 10)])))
+    query.awaitTermination()
+    assert len(table.versions()) <= 3 and table.read().count() == 30
+    _, days = run(spark, str(tmp_path / "n"), rows)
+    assert {(r["product_id"], (r["date"] - DAY0.date()).days): r for r in table.read().collect()} == days
+
+
 def test_odd_rows_are_left_out(spark, tmp_path):
     rows = [(None, at(0), "sale", 1, 0), (1, None, "sale", 1, 0), (1, at(0), "sale", None, 0),
             (1, at(0), "gift", 5, 0), (1, at(0), None, 5, 0), (1, at(0), "sale", 4, None)]
