@@ -8,12 +8,14 @@ also gives regions one level deeper, and so on. Candidates are each set with its
 neighbour in the order and with the leader of each of its regions, the set whose regions
 in all trees are largest. Their number is linear in sets and trees. Candidates are
 confirmed on full shingle sets, in rounds: first each set with its most frequent partner,
-then what the components found so far leave open, then the pairs of a region that lie in
-different components, of a crowded one with leaders that are chosen anew among the sets
-not linked to one. No candidate is left unconfirmed unless both its ends are linked.
+then what the components found so far leave open. Last come, of every region of ``least``
+hashes, however crowded, all pairs in different components; of these only the pairs whose
+whole signatures agree nearly as often as similar sets do are confirmed. No candidate is
+left unconfirmed unless both its ends are linked.
 
 A pair of similarity s meets in a region of a tree with probability s**least, so at
-0.8 all of 20 trees miss it with probability 3e-5 (more if they are crowded).
+0.8 all of 20 trees miss it with probability 3e-5, crowded or not; the signatures of such
+a pair agree too seldom with probability 1e-6 (``SPREAD`` deviations).
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ from merchlight.llm.words import U64, distinct_per_text, mix, shingles_of, words
 TREES, DEPTH, LEAST, CROWDED = 20, 8, 4, 64
 #: Members compared with one copy of a leader's text in one group of rows.
 MEMBERS = 200
-#: Leaders chosen at a time among the sets of a crowded region that are not linked yet.
-ELECTED = 16
+#: Sets of a region whose signatures a task holds beside as many others.
+BLOCK = 1024
+#: Deviations below its mean at which the agreement of two signatures is too low.
+SPREAD = 5
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
@@ -65,22 +69,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     texts = keyed_text(docs, id_col, text_col)
     confirm = lambda pairs: _confirmed(pairs, classes, texts, shingle, percent)
-    best = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "votes")) \
-        .groupBy("a").agg(F.max(F.struct("votes", (-F.col("b")).alias("b"))).alias("x")) \
-        .select(F.greatest("a", -F.col("x.b")).alias("b"), F.least("a", -F.col("x.b")).alias("a")) \
-        .distinct()
-    first = put(confirm(best), "links")
-    parts = put(connected_components(first), "parts")
-    open_ = found.join(best, ["a", "b"], "left_anti") \
-        .join(parts.toDF("a", "ca"), "a", "left").join(parts.toDF("b", "cb"), "b", "left") \
-        .where("NOT coalesce(ca, a) <=> coalesce(cb, b)").select("a", "b")
-    second = put(confirm(put(open_, "open")), "links")
+    links = _in_rounds(found, None, confirm)
     # rows that share an id tie their sets together
     same_id = linked.join(classes.select(*key, "node"), key) \
         .where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     ids_twice = linked.select("doc_id", *key).distinct().groupBy("doc_id").count() \
         .where("count > 1").select(F.col("doc_id").alias("a"))
-    links = _settled(regions, first.union(second), confirm, percent, crowded)
+    links = _settled(regions, classes, links, confirm, percent)
     edges = links.union(same_id.join(ids_twice, "a"))
     parts = put(connected_components(edges), "parts")
     named = put(classes.join(parts.toDF("node", "component"), "node", "left").select(
@@ -94,6 +89,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _in_rounds(found: DataFrame, links: DataFrame | None, confirm) -> DataFrame:
+    """``links`` and those of the candidates ``a, b, votes``, best partners first."""
+    best = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "votes")) \
+        .groupBy("a").agg(F.max(F.struct("votes", (-F.col("b")).alias("b"))).alias("x")) \
+        .select(F.greatest("a", -F.col("x.b")).alias("b"), F.least("a", -F.col("x.b")).alias("a")) \
+        .distinct()
+    first = put(confirm(best), "links")
+    links = links.union(first) if links is not None else first
+    parts = put(connected_components(links), "parts")
+    open_ = found.join(best, ["a", "b"], "left_anti") \
+        .join(parts.toDF("a", "ca"), "a", "left").join(parts.toDF("b", "cb"), "b", "left") \
+        .where("NOT coalesce(ca, a) <=> coalesce(cb, b)").select("a", "b")
+    return links.union(put(confirm(put(open_, "open")), "links"))
+
+
 def shingle_sets(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
     kept, first = shingles_of(words_of(texts, lower=True), shingle, short=True)
     return distinct_per_text(kept, first)
@@ -181,11 +191,12 @@ def _neighbours(forest: DataFrame, depth: int, least: int) -> DataFrame:
 
 
 def _regions(forest: DataFrame, depth: int, least: int, crowded: int) -> DataFrame:
-    """``region, node, n_shingles, score, final`` of sets that share a prefix.
+    """``region, node, n_shingles, score, outer`` of sets that share a prefix.
 
     Regions are counted over the whole table, whatever task holds which rows. A crowded
-    one stays, and its sets also form regions one level deeper. The score of a set adds
-    up the sizes of its regions in all trees: what agrees with most others leads.
+    one stays, and its sets also form regions one level deeper; the outer ones hold all
+    pairs of the others. The score of a set adds up the sizes of its regions in all
+    trees: what agrees with most others leads.
     """
     rows, levels = forest, []
     for d in range(least, depth + 1):
@@ -196,15 +207,15 @@ def _regions(forest: DataFrame, depth: int, least: int, crowded: int) -> DataFra
         held = put(keyed.join(sizes, "region"), "regions")
         wide = held.where(F.col("size") > crowded)
         deeper = d < depth and not wide.isEmpty()
-        levels.append(held.select("region", "node", "n_shingles", "size", (
-            F.lit(d == depth) | (F.col("size") <= crowded)).alias("final")))
+        levels.append(held.select("region", "node", "n_shingles", "size",
+                                  F.lit(d == least).alias("outer")))
         if not deeper:
             break
         rows = wide.select("node", "n_shingles", "tree", "path")
     held = reduce(DataFrame.union, levels)
     scores = held.groupBy("node").agg(F.sum("size").alias("score"))
     return put(held.join(scores, "node").select(
-        "region", "node", "n_shingles", "score", "final"), "regions")
+        "region", "node", "n_shingles", "score", "outer"), "regions")
 
 
 def _led(regions: DataFrame) -> DataFrame:
@@ -217,51 +228,80 @@ def _led(regions: DataFrame) -> DataFrame:
         F.lit(1).cast("long").alias("votes"))
 
 
-def _settled(regions: DataFrame, links: DataFrame, confirm, percent: int,
-             crowded: int) -> DataFrame:
+def _settled(regions: DataFrame, classes: DataFrame, links: DataFrame, confirm,
+             percent: int) -> DataFrame:
     """``links`` and those inside regions that the leaders and neighbours did not find.
 
-    In a region of several components all pairs of two components are compared. If more
-    than ``crowded`` sets are left, new leaders are chosen among them, round by round,
-    until that is done; those linked to a leader leave.
+    In a region of several components all pairs of two components are compared by their
+    signatures, in blocks of bounded size, and confirmed where these agree well enough.
     """
-    rest = regions.where("final").select("region", "node", "n_shingles", "score")
-    while True:
-        parts = put(connected_components(links), "parts")
-        named = rest.join(parts.toDF("node", "component"), "node", "left").select(
-            "region", "node", "n_shingles", "score",
-            F.coalesce("component", "node").alias("c"))
-        named = put(named, "rest")
-        mixed = named.groupBy("region").agg(
-            F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high")) \
-            .where("low <> high").select("region", "size")
-        rest = put(named.join(mixed, "region"), "rest")
-        discard(named)
-        if rest.isEmpty():
-            return links
-        many = rest.where(F.col("size") > crowded)
-        order = Window.partitionBy("region").orderBy(F.desc("score"), "node")
-        heads = put(many.withColumn("place", F.row_number().over(order))
-                    .where(F.col("place") <= ELECTED).drop("place"), "heads")
-        one, other = ["region", "a", "n_a", "c_a"], ["region", "b", "n_b", "c_b"]
-        cols = ["region", "node", "n_shingles", "c"]
-        few = rest.where(F.col("size") <= crowded).select(*cols)
-        small = few.toDF(*one).join(few.toDF(*other), "region").where("a < b")
-        large = many.select(*cols).toDF(*one).join(heads.select(*cols).toDF(*other), "region")
-        pairs = small.union(large).where("c_a <> c_b").where(
-            100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        pairs = put(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                    .distinct(), "rest-pairs")
-        more = put(confirm(pairs), "links")
-        links = links.union(more)
-        parts = put(connected_components(links), "parts")
-        left = many.join(heads.select("region", "node"), ["region", "node"], "left_anti") \
-            .join(parts.toDF("node", "component"), "node", "left") \
-            .withColumn("c", F.coalesce("component", "node"))
-        led = heads.select("region", "node").join(parts.toDF("node", "component"), "node", "left") \
-            .select("region", F.coalesce("component", "node").alias("c")).distinct()
-        rest = left.join(led, ["region", "c"], "left_anti").select(
-            "region", "node", "n_shingles", "score")
+    parts = put(connected_components(links), "parts")
+    named = put(regions.where("outer").select("region", "node", "n_shingles")
+                .join(parts.toDF("node", "component"), "node", "left").select(
+        "region", "node", "n_shingles", F.coalesce("component", "node").alias("c")), "rest")
+    mixed = named.groupBy("region").agg(
+        F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high")) \
+        .where("low <> high").select("region", "size")
+    order = Window.partitionBy("region").orderBy("c", "node")   # blocks of few components
+    rest = named.join(mixed, "region") \
+        .withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(
+            F.lit(0), F.floor((F.col("size") - 1) / BLOCK).cast("int"))))
+    key = ["region", "low", "high"]
+    rows = rest.join(classes.select("node", "signature"), "node").select(
+        "region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        "block", "node", "c", "n_shingles", "signature")
+    width = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(width, *key).sortWithinPartitions(*key)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            keys = np.stack([held.column(k).to_numpy() for k in range(3)])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for lo, hi in zip([0, *cuts[:-1]], cuts):
+                yield from alike(held.slice(lo, hi - lo), percent)
+            held = held.slice(cuts[-1]) if len(cuts) else held
+        if held is not None:
+            yield from alike(held, percent)
+
+    found = put(rows.mapInArrow(compared, "a long, b long, votes long").groupBy("a", "b")
+                .agg(F.max("votes").alias("votes")), "rest-pairs")
+    discard(named)
+    return links if found.isEmpty() else _in_rounds(found, links, confirm)
+
+
+def alike(group: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    """``a, b, votes`` of the pairs of two blocks, or inside one, whose signatures agree."""
+    block, node, c, n = (group.column(k).to_numpy() for k in range(3, 7))
+    first, second = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    if len(np.unique(c)) == 1:
+        return
+    data = b"".join(group.column(7).to_pylist())
+    hashes = np.ascontiguousarray(np.frombuffer(data, ">u4").reshape(len(node), -1).T).astype(np.uint32)
+    width, share = len(hashes), percent / 100
+    enough = width * share - SPREAD * np.sqrt(width * share * (1 - share))
+    other = hashes[:, second]
+    for lo in range(0, len(first), 64):
+        x = first[lo:lo + 64]
+        open_ = (c[x][:, None] != c[second]) & (
+            100 * np.minimum(n[x][:, None], n[second]) >= percent * np.maximum(n[x][:, None], n[second]))
+        if block.min() == block.max():
+            open_ &= x[:, None] < second
+        if not open_.any():
+            continue
+        votes = np.zeros(open_.shape, np.int16)
+        for k in range(width):
+            votes += hashes[k, x][:, None] == other[k]
+        i, j = np.nonzero(open_ & (votes >= enough))
+        if len(i):
+            a, b = node[x[i]], node[second[j]]
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)),
+                                   pa.array(votes[i, j].astype(np.int64))],
+                                  names=["a", "b", "votes"])
 
 
 def _paths(column, depth: int) -> np.ndarray:

@@ -87,6 +87,35 @@ def test_copies_of_an_original_that_is_not_the_first(spark, n, place, parts):
     assert Counter(got) == {0: n + 1}
 
 
+def crowd(pairs):
+    """Sets that share a template, and of each set a copy that is 81 % to it."""
+    base, rows = prose(300, 61).split(), []
+    for k in range(pairs):
+        own = base[:170] + prose(130, 5000 + k).split()
+        near, draw = list(own), random.Random(k)
+        for at in (180, 210, 240, 260, 280, 295):
+            near[at + draw.randrange(5)] = f"n{k}x{at}"
+        rows += [" ".join(own), " ".join(near)]
+    random.Random(1).shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_crowded_regions_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rows, trees, depth, least = crowd(60), 3, 8, 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = near_dedup._signatures(docs, 5, trees * depth).collect()
+    paths = {r["doc_id"]: {(t, bytes(r["signature"][32 * t:32 * t + 4 * least]))
+                           for t in range(trees)} for r in signed}
+    sets = {i: shingles(text, 5) for i, text in rows}
+    pairs = [(i, j) for i in sets for j in sets if i < j and paths[i] & paths[j]
+             and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(pairs) > 40
+    got = near_dedup.near_duplicates(docs, trees=trees, depth=depth, least=least, crowded=4)
+    parts = {r["doc_id"]: r["component_id"] for r in got.collect()}
+    assert [p for p in pairs if parts[p[0]] != parts[p[1]]] == []
+
+
 def test_near_duplicates_equal_sql(spark, tables):
     name = "op1_minhash_near_dedup"
     df = driver.queries()[name](spark, tables)
