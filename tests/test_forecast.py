@@ -94,6 +94,22 @@ def test_fit_is_at_least_as_good_as_a_random_search():
     assert (residuals ** 2).sum() <= cost.min() * 1.001
 
 
+def test_no_weights_of_a_series_are_solved_twice(monkeypatch):
+    seen = []
+    solve_own = many_series.Smoothing.solve_own
+
+    def counted(self, rows, params):
+        seen.extend((i, tuple(p)) for i, p in zip(rows.tolist(), params.tolist()))
+        return solve_own(self, rows, params)
+
+    monkeypatch.setattr(many_series.Smoothing, "solve_own", counted)
+    rng = np.random.default_rng(2)
+    series = [np.where(rng.random(200) < 0.05, 7.0, 0.0) for _ in range(10)]   # no season, no trend
+    many_series.fit_holt_winters(series, 7, 5)
+    searched = seen[:-len(series)]                  # the last ones are the chosen
+    assert len(set(searched)) == len(searched) < 0.6 * 27 * many_series.ROUNDS * len(series)
+
+
 def test_many_series_equal_each_alone():
     rng = np.random.default_rng(3)
     series = [noisy(int(n), k) for k, n in enumerate(rng.integers(14, 300, 30))]
