@@ -243,6 +243,23 @@ def test_near_passages_go_and_others_stay(spark):
     assert [cut[i]["_n_removed"] for i in (0, 2, 3)] == [0, 0, 0]
 
 
+def test_passages_whose_values_meet_other_texts_first(spark):
+    """Earlier texts hold each shingle of the passage, but none of them the passage."""
+    words, rows = PASSAGE.split(), []
+    for _ in range(4):
+        for i in range(len(words) - 4):
+            at = len(rows)
+            rows.append((at, prose(60, 50_000 + at) + " " + " ".join(words[i:i + 5]) + " " +
+                         prose(60, 60_000 + at)))
+    for k in range(6):
+        rows.append((1000 + k, prose(60, 70_000 + k) + " " + PASSAGE + " " + prose(60, 80_000 + k)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = {r["doc_id"]: r["_n_removed"] for r in passages.remaining(
+        docs, passages.repeated_passages(docs)).collect()}
+    assert {i for i, n in cut.items() if n} == set(range(1001, 1006))
+    assert all(cut[i] in range(78, 84) for i in range(1001, 1006))
+
+
 def test_empty_tables(spark, no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0
     assert suffix_dedup.repeated_bytes(no_docs).count() == 0
