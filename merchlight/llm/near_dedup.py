@@ -9,9 +9,10 @@ neighbour in the order and with the leader of each of its regions, the set whose
 in all trees are largest. Their number is linear in sets and trees. Candidates are
 confirmed on full shingle sets, in rounds: first each set with its most frequent partner,
 then what the components found so far leave open. Last come, of every region of ``least``
-hashes, however crowded, all pairs in different components; of these only the pairs whose
-whole signatures agree nearly as often as similar sets do are confirmed. No candidate is
-left unconfirmed unless both its ends are linked.
+hashes, however crowded, all pairs in different components, in blocks; where whole
+signatures agree nearly as often as those of similar sets do, the full sets are compared
+in the block itself, which gives links that connect what it holds and no row for each pair.
+No candidate is left unconfirmed unless both its ends are linked.
 
 A pair of similarity s meets in a region of a tree with probability s**least, so at
 0.8 all of 20 trees miss it with probability 3e-5, crowded or not; the signatures of such
@@ -34,8 +35,8 @@ from merchlight.llm.words import U64, distinct_per_text, mix, shingles_of, words
 TREES, DEPTH, LEAST, CROWDED = 20, 8, 4, 64
 #: Members compared with one copy of a leader's text in one group of rows.
 MEMBERS = 200
-#: Sets of a region whose signatures a task holds beside as many others.
-BLOCK = 1024
+#: Sets of a region, and their shingles, that a task holds beside as many others.
+BLOCK, HELD = 4096, 1 << 21
 #: Deviations below its mean at which the agreement of two signatures is too low.
 SPREAD = 5
 
@@ -68,14 +69,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = _across_tasks(found, _led(regions), least)
 
     texts = keyed_text(docs, id_col, text_col)
-    confirm = lambda pairs: _confirmed(pairs, classes, texts, shingle, percent)
-    links = _in_rounds(found, None, confirm)
+    links = _in_rounds(found, lambda pairs: _confirmed(pairs, classes, texts, shingle, percent))
     # rows that share an id tie their sets together
     same_id = linked.join(classes.select(*key, "node"), key) \
         .where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     ids_twice = linked.select("doc_id", *key).distinct().groupBy("doc_id").count() \
         .where("count > 1").select(F.col("doc_id").alias("a"))
-    links = _settled(regions, classes, links, confirm, percent)
+    links = _settled(regions, classes, links, texts, shingle, percent, depth, least)
     edges = links.union(same_id.join(ids_twice, "a"))
     parts = put(connected_components(edges), "parts")
     named = put(classes.join(parts.toDF("node", "component"), "node", "left").select(
@@ -89,14 +89,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _in_rounds(found: DataFrame, links: DataFrame | None, confirm) -> DataFrame:
-    """``links`` and those of the candidates ``a, b, votes``, best partners first."""
+def _in_rounds(found: DataFrame, confirm) -> DataFrame:
+    """The links of the candidates ``a, b, votes``, best partners first."""
     best = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "votes")) \
         .groupBy("a").agg(F.max(F.struct("votes", (-F.col("b")).alias("b"))).alias("x")) \
         .select(F.greatest("a", -F.col("x.b")).alias("b"), F.least("a", -F.col("x.b")).alias("a")) \
         .distinct()
-    first = put(confirm(best), "links")
-    links = links.union(first) if links is not None else first
+    links = put(confirm(best), "links")
     parts = put(connected_components(links), "parts")
     open_ = found.join(best, ["a", "b"], "left_anti") \
         .join(parts.toDF("a", "ca"), "a", "left").join(parts.toDF("b", "cb"), "b", "left") \
@@ -191,7 +190,7 @@ def _neighbours(forest: DataFrame, depth: int, least: int) -> DataFrame:
 
 
 def _regions(forest: DataFrame, depth: int, least: int, crowded: int) -> DataFrame:
-    """``region, node, n_shingles, score, outer`` of sets that share a prefix.
+    """``region, tree, node, n_shingles, score, outer`` of sets that share a prefix.
 
     Regions are counted over the whole table, whatever task holds which rows. A crowded
     one stays, and its sets also form regions one level deeper; the outer ones hold all
@@ -207,7 +206,7 @@ def _regions(forest: DataFrame, depth: int, least: int, crowded: int) -> DataFra
         held = put(keyed.join(sizes, "region"), "regions")
         wide = held.where(F.col("size") > crowded)
         deeper = d < depth and not wide.isEmpty()
-        levels.append(held.select("region", "node", "n_shingles", "size",
+        levels.append(held.select("region", "tree", "node", "n_shingles", "size",
                                   F.lit(d == least).alias("outer")))
         if not deeper:
             break
@@ -215,7 +214,7 @@ def _regions(forest: DataFrame, depth: int, least: int, crowded: int) -> DataFra
     held = reduce(DataFrame.union, levels)
     scores = held.groupBy("node").agg(F.sum("size").alias("score"))
     return put(held.join(scores, "node").select(
-        "region", "node", "n_shingles", "score", "outer"), "regions")
+        "region", "tree", "node", "n_shingles", "score", "outer"), "regions")
 
 
 def _led(regions: DataFrame) -> DataFrame:
@@ -228,59 +227,125 @@ def _led(regions: DataFrame) -> DataFrame:
         F.lit(1).cast("long").alias("votes"))
 
 
-def _settled(regions: DataFrame, classes: DataFrame, links: DataFrame, confirm,
-             percent: int) -> DataFrame:
+#: What a task compares: the region and its two blocks, and of each set what it needs.
+SETTLED = ("region long, low int, high int, tree int, block int, node long, c long, "
+           "n_shingles long, signature binary")
+
+
+def _settled(regions: DataFrame, classes: DataFrame, links: DataFrame, texts: DataFrame,
+             shingle: int, percent: int, depth: int, least: int) -> DataFrame:
     """``links`` and those inside regions that the leaders and neighbours did not find.
 
     In a region of several components all pairs of two components are compared by their
-    signatures, in blocks of bounded size, and confirmed where these agree well enough.
+    signatures, in blocks of bounded size; the sets of those that agree well enough come
+    again with their texts and are compared as full sets.
     """
     parts = put(connected_components(links), "parts")
-    named = put(regions.where("outer").select("region", "node", "n_shingles")
+    named = put(regions.where("outer").select("region", "tree", "node", "n_shingles")
                 .join(parts.toDF("node", "component"), "node", "left").select(
-        "region", "node", "n_shingles", F.coalesce("component", "node").alias("c")), "rest")
-    mixed = named.groupBy("region").agg(
-        F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high")) \
-        .where("low <> high").select("region", "size")
+        "region", "tree", "node", "n_shingles", F.coalesce("component", "node").alias("c")), "rest")
     order = Window.partitionBy("region").orderBy("c", "node")   # blocks of few components
-    rest = named.join(mixed, "region") \
-        .withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(
-            F.lit(0), F.floor((F.col("size") - 1) / BLOCK).cast("int"))))
-    key = ["region", "low", "high"]
+    weight = F.greatest(F.lit(HELD // BLOCK).cast("long"), F.col("n_shingles"))
+    mixed = named.groupBy("region").agg(F.min("c").alias("x"), F.max("c").alias("y")) \
+        .where("x <> y").select("region")
+    placed = named.join(mixed, "region").withColumn(
+        "block", F.floor((F.sum(weight).over(order) - weight) / HELD).cast("int"))
+    blocks = placed.groupBy("region").agg(F.max("block").alias("last"))
+    rest = placed.join(blocks, "region").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
     rows = rest.join(classes.select("node", "signature"), "node").select(
         "region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "block", "node", "c", "n_shingles", "signature")
-    width = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(width, *key).sortWithinPartitions(*key)
+        "tree", "block", "node", "c", "n_shingles", "signature")
+
+    def open_(groups: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        for group in groups:
+            some = np.zeros(len(group), bool)
+            for i, j in alike(group, percent, depth, least):
+                some[i] = some[j] = True
+            if some.any():
+                yield from group.filter(pa.array(some)).to_batches()
+
+    def compared(groups: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        for group in groups:
+            node, text = group.column("node").to_numpy(), utf8(group.column("text"))
+            sets = []
+            for lo, hi in slices(text):
+                values, first = shingle_sets(text[lo:hi], shingle)
+                sets += [values[x:y].copy() for x, y in zip(first, first[1:])]
+            root, out = list(range(len(sets))), []
+            for i, j in alike(group, percent, depth, least):
+                for x, y in zip(i.tolist(), j.tolist()):
+                    p, q = _root(root, x), _root(root, y)
+                    if p != q and _similar(sets[x], sets[y], percent):
+                        root[q] = p
+                        out.append((node[x], node[y]))
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
-            keys = np.stack([held.column(k).to_numpy() for k in range(3)])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            for lo, hi in zip([0, *cuts[:-1]], cuts):
-                yield from alike(held.slice(lo, hi - lo), percent)
-            held = held.slice(cuts[-1]) if len(cuts) else held
-        if held is not None:
-            yield from alike(held, percent)
-
-    found = put(rows.mapInArrow(compared, "a long, b long, votes long").groupBy("a", "b")
-                .agg(F.max("votes").alias("votes")), "rest-pairs")
+    width = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["region", "low", "high"]
+    found = put(rows.repartition(width, *key).sortWithinPartitions(*key).mapInArrow(
+        lambda batches: open_(_groups(batches)), SETTLED), "rest-sets")
     discard(named)
-    return links if found.isEmpty() else _in_rounds(found, links, confirm)
+    # another text under the same id is another set
+    own = classes.select("node", "h1", "h2")
+    hashed = _summed(texts.join(found.select("node").distinct(), F.col("doc_id") == F.col("node"),
+                                "left_semi"), shingle)
+    whole = hashed.join(own, (F.col("doc_id") == F.col("node")) & (F.col("s1") == F.col("h1")) &
+                        (F.col("s2") == F.col("h2"))).select("node", "text").dropDuplicates(["node"])
+    more = put(found.join(whole, "node").select(*[c.split()[0] for c in SETTLED.split(", ")], "text")
+               .repartition(width, *key).sortWithinPartitions(*key)
+               .mapInArrow(lambda batches: compared(_groups(batches)), "a long, b long"), "rest-links")
+    return links.union(more)
+
+
+def _summed(texts: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, text, s1, s2``: the texts with the sums of their sets."""
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = utf8(batch.column(1))
+            for lo, hi in slices(data):
+                s1, s2 = set_sums(*shingle_sets(data[lo:hi], shingle))
+                yield pa.record_batch(
+                    [*(c.slice(lo, hi - lo) for c in batch.columns), pa.array(s1), pa.array(s2)],
+                    names=["doc_id", "text", "s1", "s2"])
+
+    return texts.select("doc_id", "text").mapInArrow(
+        summed, "doc_id long, text string, s1 long, s2 long")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each value of the first three columns, by which they are sorted."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        keys = np.stack([held.column(k).to_numpy() for k in range(3)])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        for lo, hi in zip([0, *cuts[:-1]], cuts):
+            yield held.slice(lo, hi - lo)
+        held = held.slice(cuts[-1]) if len(cuts) else held
+    if held is not None:
+        yield held
+
+
+def _root(root: list[int], x: int) -> int:
+    while root[x] != x:
+        root[x] = x = root[root[x]]
+    return x
 
 
-def alike(group: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
-    """``a, b, votes`` of the pairs of two blocks, or inside one, whose signatures agree."""
-    block, node, c, n = (group.column(k).to_numpy() for k in range(3, 7))
+def alike(group: pa.Table, percent: int, depth: int,
+          least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of the pairs of two blocks, or inside one, whose signatures agree.
+
+    A pair that an earlier tree's region holds too is left to that one.
+    """
+    tree, block, node, c, n = (group.column(k).to_numpy() for k in range(3, 8))
     first, second = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
     if len(np.unique(c)) == 1:
         return
-    data = b"".join(group.column(7).to_pylist())
+    data = b"".join(group.column(8).to_pylist())
     hashes = np.ascontiguousarray(np.frombuffer(data, ">u4").reshape(len(node), -1).T).astype(np.uint32)
     width, share = len(hashes), percent / 100
     enough = width * share - SPREAD * np.sqrt(width * share * (1 - share))
@@ -297,11 +362,13 @@ def alike(group: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
         for k in range(width):
             votes += hashes[k, x][:, None] == other[k]
         i, j = np.nonzero(open_ & (votes >= enough))
+        i, j = x[i], second[j]
+        for t in range(tree[0]):
+            apart = (hashes[t * depth:t * depth + least, i] !=
+                     hashes[t * depth:t * depth + least, j]).any(axis=0)
+            i, j = i[apart], j[apart]
         if len(i):
-            a, b = node[x[i]], node[second[j]]
-            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)),
-                                   pa.array(votes[i, j].astype(np.int64))],
-                                  names=["a", "b", "votes"])
+            yield i, j
 
 
 def _paths(column, depth: int) -> np.ndarray:

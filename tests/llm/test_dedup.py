@@ -116,6 +116,26 @@ def test_crowded_regions_lose_no_pair(spark, monkeypatch):
     assert [p for p in pairs if parts[p[0]] != parts[p[1]]] == []
 
 
+def test_rows_do_not_grow_with_the_pairs_of_a_crowd(spark, monkeypatch):
+    """Sets that are 68 % to each other agree in signatures and are linked with nothing."""
+    rows = [(k, text) for k, text in variants(120, 120)[:120]]
+    made, put = {}, near_dedup.put
+
+    def counted(df, label):
+        out = put(df, label)
+        if label.startswith("rest"):           # what settles the regions
+            made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "put", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs, trees=6, least=2, crowded=4)
+    sets = [shingles(text, 5) for _, text in rows]
+    assert all(100 * len(a & b) < 80 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert sorted(r["component_id"] for r in got.collect()) == list(range(120))
+    assert made and max(made.values()) <= 6 * 120
+
+
 def test_near_duplicates_equal_sql(spark, tables):
     name = "op1_minhash_near_dedup"
     df = driver.queries()[name](spark, tables)
