@@ -280,6 +280,32 @@ def test_passages_whose_values_meet_other_texts_first(spark):
     assert all(cut[i] in range(78, 84) for i in range(1001, 1006))
 
 
+def test_rows_do_not_grow_with_the_pairs_that_share_a_line(spark, monkeypatch):
+    """A line just too short for a passage pairs all texts; each comes once to its cell."""
+    line, n = " ".join(PASSAGE.split()[:40]), 60
+    rows = [(k, prose(20, 90_000 + k) + " " + line + " " + prose(20, 91_000 + k)) for k in range(n)]
+    rows.append((n, prose(30, 92_000) + " " + rows[n - 1][1]))       # a real repeat
+    rows.append((n + 1, rows[0][1] + " " + prose(30, 92_001) + " " + PASSAGE + " " + PASSAGE))
+    made, put = {}, passages.put
+
+    def counted(df, label):
+        out = put(df, label)
+        made.setdefault(label, []).append(out)
+        return out
+
+    monkeypatch.setattr(passages, "put", counted)
+    monkeypatch.setattr(passages, "discard", lambda *staged: None)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = {r["doc_id"]: r["_n_removed"] for r in passages.remaining(
+        docs, passages.repeated_passages(docs)).collect()}
+    assert {i for i, gone in cut.items() if gone} == {n, n + 1}
+    assert cut[n] in range(78, 82) and cut[n + 1] >= 156
+    pairs = [df.count() for label in ("laned", "window-pairs") for df in made.get(label, [])]
+    verified = [df.count() for label in ("laned", "cells") for df in made.get(label, [])]
+    assert max(pairs) > 10 * n                   # all pairs are there
+    assert verified and max(verified) <= 4 * n
+
+
 def test_empty_tables(spark, no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0
     assert suffix_dedup.repeated_bytes(no_docs).count() == 0
