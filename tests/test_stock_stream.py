@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +232,58 @@ def test_stored_orders_write_changed_months_only(spark, tables, tmp_path):
     assert m.refresh_orders(table) == ["1997-05"] and table.versions() == [0, 1]
     assert got() == want()
     assert "1996-02" not in {r["month"] for r in table.manifest()}
+
+
+def test_a_call_gives_one_packed_row(spark, tmp_path):
+    class Value:
+        def __init__(self):
+            self.held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, v):
+            self.held = v
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return value
+
+        def registerTimer(self, ms):
+            pass
+
+    class Clock:
+        def __init__(self, day):
+            self.day = day
+
+        def getCurrentWatermarkInMs(self):
+            return self.day * stock.DAY_MS
+
+    value, keeper = Value(), stock.PackedKeeper(1, 3)
+    keeper.init(Handle())
+    kind = stock.SUMS_PACKED.names
+    days = [dict(day=d, n_rows=1, sold=2, net=-2, counted=0, counted_at=0, counted_line=0, known=False)
+            for d in range(100)]
+    days[5] |= dict(counted=0, counted_at=7, counted_line=3, known=True)
+    sums = [type("R", (), {"sums": x.as_py()}) for x in stock.packed_rows(
+        len(days), stock.SUMS_PACKED, {c: [d[c] for d in days] for c in kind})]
+
+    def table(rows):
+        rows = list(rows)
+        assert len(rows) == 1                       # a product's days are one value
+        batch = pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in (
+            ("product_id", pa.int64()), ("days", pa.binary()))], names=["product_id", "days"])
+        return pa.Table.from_batches(stock.unpacked(iter([batch]))).to_pylist()
+
+    opened = table(keeper.handleInputRows((4,), iter(sums), Clock(-9)))
+    assert len(opened) == 100 and opened[9] == dict.fromkeys(opened[9]) | {
+        "product_id": 4, "date": dt.date(1970, 1, 10), "closed": False, "n_rows": 1, "units": 2,
+        "late_rows": 0}
+    assert len(value.held) == 1 and isinstance(value.held[0], bytes)
+    closed = table(keeper.handleExpiredTimer((4,), Clock(90), None))
+    assert len(closed) == 92 and [r["stock"] for r in closed[4:8]] == [None, 0, -2, -4]
+    assert closed[5]["stock_alert"] == closed[5]["status"] == "critical"
+    assert closed[80]["mean_demand"] == 2 and closed[80]["change_pct"] == 0
+    late = table(keeper.handleInputRows((4,), iter(sums[80:81]), Clock(90)))
+    assert late == [dict.fromkeys(late[0]) | {"product_id": 4, "date": dt.date(1970, 3, 22),
+                                              "closed": True, "late_rows": 1}]
