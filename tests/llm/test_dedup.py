@@ -6,10 +6,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as driver
 from merchlight.llm import near_dedup, passages, suffix_dedup
+from merchlight.llm.common import pieces
 from merchlight.llm.components import connected_components
 from tests import compare
 from tests.llm.conftest import PASSAGE, ROWS, prose
@@ -382,3 +384,23 @@ def test_ranges_follow_the_order_of_values_and_documents():
     assert len(set(zip(values, docs, part))) == len(set(zip(values, docs)))
     few = passages.bounds(values[:5], docs[:5], 4)
     assert few[0].tolist() == [-2**62, 0, 2**62]
+
+
+def test_batches_come_in_pieces_of_few_rows():
+    batch = pa.record_batch([pa.array(range(1000)), pa.array([[i] * (i % 3) for i in range(1000)])],
+                            names=["a", "b"])
+    made = list(pieces(iter([batch, batch.slice(0, 0), batch])))
+    assert max(x.num_rows for x in made) <= 256
+    assert pa.Table.from_batches(made).equals(pa.Table.from_batches([batch, batch]))
+
+
+def test_verification_is_the_same_whatever_a_batch_holds(spark, monkeypatch):
+    """Members of a cell's rows are read from pieces of an Arrow batch, one row or all of them."""
+    rows = [(k, prose(30, 3 * k) + " " + PASSAGE + " " + prose(30, 3 * k + 1)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = []
+    for size in (1, 7, 10_000):
+        monkeypatch.setattr(passages, "pieces", lambda batches, size=size: pieces(batches, size))
+        found.append(sorted((r["doc_id"], r["text_hash"], str(r["spans"]))
+                            for r in passages.repeated_passages(docs).collect()))
+    assert [r[0] for r in found[0]] == list(range(1, 40)) and found[0] == found[1] == found[2]
