@@ -58,15 +58,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are one node with the links of all their texts. Other columns are ignored; an
     empty table gives an empty result.
     """
-    sets = put(_signatures(keyed_text(docs, id_col, text_col), shingle, trees * depth), "sets")
-    linked = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    key = ["h1", "h2", "n_shingles"]
-    classes = put(linked.groupBy(*key).agg(F.min("doc_id").alias("node"),
-                                           F.first("signature").alias("signature")), "classes")
+    signed = put(_signatures(keyed_text(docs, id_col, text_col), shingle, trees * depth), "signed")
+    some, key = "n_shingles > 0 AND doc_id IS NOT NULL", ["h1", "h2", "n_shingles"]
+    classes = put(signed.where(some).groupBy(*key).agg(
+        F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "classes")
+    sets = put(signed.drop("signature"), "sets")        # only the classes' are needed from here
+    discard(signed)
+    linked = sets.where(some)
     forest = _forest(classes, trees, depth)
     regions = _regions(forest, depth, least, crowded)
-    found = put(_neighbours(forest, depth, least), "candidates")
-    found = _across_tasks(found, _led(regions), least)
+    near = put(_neighbours(forest, depth, least), "candidates")
+    found = _across_tasks(near, _led(regions), least)
+    discard(near)
 
     texts = keyed_text(docs, id_col, text_col)
     links = _in_rounds(found, lambda pairs: _confirmed(pairs, classes, texts, shingle, percent))
@@ -76,10 +79,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids_twice = linked.select("doc_id", *key).distinct().groupBy("doc_id").count() \
         .where("count > 1").select(F.col("doc_id").alias("a"))
     links = _settled(regions, classes, links, texts, shingle, percent, depth, least)
+    discard(regions, found)
     edges = links.union(same_id.join(ids_twice, "a"))
     parts = put(connected_components(edges), "parts")
     named = put(classes.join(parts.toDF("node", "component"), "node", "left").select(
         *key, F.coalesce("component", "node").alias("component")), "named")
+    discard(classes, parts)
     return sets.select("doc_id", *key).join(named, key, "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
@@ -197,13 +202,14 @@ def _regions(forest: DataFrame, depth: int, least: int, crowded: int) -> DataFra
     pairs of the others. The score of a set adds up the sizes of its regions in all
     trees: what agrees with most others leads.
     """
-    rows, levels = forest, []
+    rows, levels, staged = forest, [], []
     for d in range(least, depth + 1):
         keyed = rows.select("node", "n_shingles", "tree", "path", F.xxhash64(
             F.lit(d), "tree", F.substring("path", 1, 4 * d)).alias("region"))
         # two sets are neighbours
         sizes = keyed.groupBy("region").agg(F.count("*").alias("size")).where("size > 2")
-        held = put(keyed.join(sizes, "region"), "regions")
+        held = put(keyed.join(sizes, "region"), "region-sets")
+        staged.append(held)
         wide = held.where(F.col("size") > crowded)
         deeper = d < depth and not wide.isEmpty()
         levels.append(held.select("region", "tree", "node", "n_shingles", "size",
@@ -211,10 +217,12 @@ def _regions(forest: DataFrame, depth: int, least: int, crowded: int) -> DataFra
         if not deeper:
             break
         rows = wide.select("node", "n_shingles", "tree", "path")
-    held = reduce(DataFrame.union, levels)
-    scores = held.groupBy("node").agg(F.sum("size").alias("score"))
-    return put(held.join(scores, "node").select(
-        "region", "tree", "node", "n_shingles", "score", "outer"), "regions")
+    # a set is in one region of each tree and level at most
+    regions = put(reduce(DataFrame.union, levels).select(
+        "region", "tree", "node", "n_shingles",
+        F.sum("size").over(Window.partitionBy("node")).alias("score"), "outer"), "regions")
+    discard(*staged)
+    return regions
 
 
 def _led(regions: DataFrame) -> DataFrame:
@@ -295,6 +303,7 @@ def _settled(regions: DataFrame, classes: DataFrame, links: DataFrame, texts: Da
     more = put(found.join(whole, "node").select(*[c.split()[0] for c in SETTLED.split(", ")], "text")
                .repartition(width, *key).sortWithinPartitions(*key)
                .mapInArrow(lambda batches: compared(_groups(batches)), "a long, b long"), "rest-links")
+    discard(found)
     return links.union(more)
 
 

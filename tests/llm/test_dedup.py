@@ -1,6 +1,7 @@
 """Near, exact and passage duplicates against brute force."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -138,6 +139,27 @@ def test_rows_do_not_grow_with_the_pairs_of_a_crowd(spark, monkeypatch):
     assert made and max(made.values()) <= 6 * 120
 
 
+def test_staged_tables_go_when_nothing_reads_them(spark, monkeypatch):
+    rows = [(k, text) for k, text in variants(60, 40)[:60]]
+    made, plans, put = {}, [], near_dedup.put
+
+    def kept(df, label):
+        out = put(df, label)
+        made.setdefault(label, []).append(out.staged_at.removeprefix("file:"))
+        if label == "regions":                 # scores need no join of the sets with themselves
+            plans.append(df._jdf.queryExecution().analyzed().toString())
+        return out
+
+    monkeypatch.setattr(near_dedup, "put", kept)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs, trees=6, least=2, crowded=4)
+    for label in ("signed", "candidates", "region-sets", "regions", "pairs", "rest", "rest-sets"):
+        assert made[label] and not any(map(os.path.exists, made[label])), label
+    assert all(os.path.exists(path) for path in made["sets"])
+    assert len(plans) == 1 and "Join" not in plans[0]
+    assert got.count() == 60
+
+
 def test_near_duplicates_equal_sql(spark, tables):
     name = "op1_minhash_near_dedup"
     df = driver.queries()[name](spark, tables)
