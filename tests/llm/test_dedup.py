@@ -330,6 +330,49 @@ def test_rows_do_not_grow_with_the_pairs_that_share_a_line(spark, monkeypatch):
     assert verified and max(verified) <= 4 * n
 
 
+def test_texts_that_share_a_line_alone_do_not_meet(spark, monkeypatch):
+    """Pairs of a frequent line go before they are rows; those of a passage around it stay."""
+    line, n, rows = " ".join(PASSAGE.split()[:30]), 90, []
+    for k in range(n):
+        rows.append((k, prose(40, 95_000 + k) + " " + line + " " + prose(40, 96_000 + k)))
+    changed = rows[40][1].split()
+    changed[::40] = [f"w{i}" for i in range(len(changed[::40]))]
+    rows.append((n, prose(30, 97_000) + " " + " ".join(changed)))            # near one of them
+    rows.append((n + 1, rows[55][1] + " " + rows[55][1]))                    # the same twice
+    other = prose(40, 98_000)
+    for k in range(20):                          # many texts around a passage with a changing end
+        rows.append((200 + k, prose(30, 98_100 + k) + " " + line + " " + other[:200 + 2 * k] + " " +
+                     prose(20, 98_200 + k)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    put, seen = passages.put, []
+    for crowd in (8, 1 << 30):                   # above it no key is crowded
+        made = {}
+
+        def kept(df, label, made=made):
+            made[label] = put(df, label)
+            return made[label]
+
+        monkeypatch.setattr(passages, "put", kept)
+        monkeypatch.setattr(passages, "discard", lambda *staged: None)
+        monkeypatch.setattr(passages, "CROWD", crowd, raising=False)
+        monkeypatch.setattr(passages, "COMMON", 8, raising=False)
+        spans = sorted((r["doc_id"], str(r["spans"])) for r in passages.repeated_passages(docs).collect())
+        seen.append((spans, made["window-pairs"].count()))
+    assert seen[0][0] == seen[1][0] and {n, n + 1} <= {i for i, _ in seen[0][0]}
+    assert 2 * seen[0][1] < n * n // 2 < seen[1][1]
+
+
+def test_a_passage_of_common_shingles_is_told_from_a_line():
+    draw = np.random.default_rng(6)
+    for _ in range(200):
+        n = int(draw.integers(1, 120))
+        places = np.flatnonzero(draw.random(n) < draw.choice([.3, .7, .8, .9]))
+        other = np.ones(n, int)
+        other[places] = 0
+        brute = any(100 * other[x:y].sum() <= 20 * (y - x) for x in range(n) for y in range(x + 46, n + 1))
+        assert passages.is_common(places, n, 46, 80) == brute
+
+
 def test_empty_tables(spark, no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0
     assert suffix_dedup.repeated_bytes(no_docs).count() == 0
