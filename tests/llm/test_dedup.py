@@ -9,10 +9,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from merchlight.llm import near_dedup, passages, suffix_dedup
-from merchlight.llm.common import pieces
+from merchlight.llm.common import pieces, put
 from merchlight.llm.components import connected_components
 from tests import compare
 from tests.llm.conftest import PASSAGE, ROWS, prose
@@ -373,6 +374,23 @@ def test_a_passage_of_common_shingles_is_told_from_a_line():
         assert passages.is_common(places, n, 46, 80) == brute
 
 
+def test_shuffle_files_of_a_staged_table_go(spark, tmp_path):
+    name, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+
+    class Watched:                               # what the option is while the table is written
+        def __init__(self, df):
+            self.df, self.sparkSession, self.schema = df, df.sparkSession, df.schema
+
+        @property
+        def write(self):
+            seen.append(spark.conf.get(name))
+            return self.df.write
+
+    before = spark.conf.get(name)
+    out = put(Watched(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()), "cleaned")
+    assert out.count() == 7 and seen == ["true"] and spark.conf.get(name) == before
+
+
 def test_empty_tables(spark, no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0
     assert suffix_dedup.repeated_bytes(no_docs).count() == 0
