@@ -116,6 +116,23 @@ def test_state_is_one_value_a_product_and_bounded(spark, tmp_path):
     assert held["timer"] == keeper.closes_at(402) - 1
 
 
+def test_a_batch_without_late_rows_is_written_once(spark, tmp_path):
+    """Only late rows are grouped and set aside again; the table is the same with them."""
+    import os
+    rows = [*steady(1, range(10)), *steady(2, range(8), 3)]
+    query, table = stock.keep_stock(stock.stock_days(batches(
+        spark, str(tmp_path / "m"), rows, [(1, at(13), "sale", 1, 0)],
+        [(1, at(10), "sale", 5, 0), (2, at(9), "sale", 5, 0), (1, at(12), "sale", 4, 0)],
+        [(1, at(20), "sale", 1, 0)])), path=str(tmp_path / "t"))
+    query.awaitTermination()
+    written = {v: os.path.exists(f"{tmp_path}/t/incoming/version={v}") for v in table.versions()}
+    assert not written[0] and sum(written.values()) == 1
+    days = [(r["product_id"], (r["date"] - DAY0.date()).days) for r in table.read().collect()]
+    assert len(days) == len(set(days)) == 23
+    late = {k: v for k, v in zip(days, [r["late_rows"] for r in table.read().collect()]) if v}
+    assert late == {(1, 10): 1, (2, 9): 1}
+
+
 def test_old_versions_go_and_days_stay(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(stock, "KEPT_VERSIONS", 2)
     rows = steady(1, range(30))
